@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, substring_dedup
+from textloom.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, pii, quality_rules, secret_scan, substring_dedup, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+    "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_language_id": language_id.op6_language_id,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_url_filter": url_filter.op9_url_filter,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLES = {
+    "op2_quality_rules": quality_rules.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op4_jaccard_join": jaccard_join.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
