@@ -1,0 +1,40 @@
+"""Builders of labelled datasets: dedup, caps, balance, weak labels, phrases."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def dedup_prefix(docs: DataFrame, chars: int = 80) -> DataFrame:
+    """The smallest doc_id of each prefix of that many characters; null texts are one prefix."""
+    return docs.groupBy(F.left(F.coalesce("text", F.lit("")), F.lit(chars)).alias("prefix")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+def cap_per_group(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:
+    w = Window.partitionBy(group).orderBy(order)
+    return rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
+
+
+def balance(rows: DataFrame) -> DataFrame:
+    """Per domain, at most max(3 x rows of quality 0, 10) rows of quality 1, by doc_id."""
+    slop = F.count_if(F.col("quality") == 0).over(Window.partitionBy("domain"))
+    rank = F.row_number().over(Window.partitionBy("domain", "quality").orderBy("doc_id"))
+    df = rows.withColumns({"slop": slop, "rank": rank})
+    return df.filter((F.col("quality") == 0) | (F.col("rank") <= F.greatest(3 * F.col("slop"), F.lit(10)))).select("doc_id", "domain", "quality")
+
+
+def phrase_counts(docs: DataFrame, n: int, least: int, longest: int = 60) -> DataFrame:
+    """(phrase, docs): word n-grams of 8 to `longest` characters without a digit, in at least `least` documents."""
+    from textloom.functions.text import tokens
+
+    toks = docs.select("doc_id", tokens(F.col("text")).alias("t"))
+    grams = F.when(F.size("t") < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.array_join(F.slice("t", i, n), " ")))
+    rows = toks.select(F.explode(F.array_distinct(grams)).alias("phrase")).filter(F.char_length("phrase").between(8, longest) & ~F.col("phrase").rlike("[0-9]"))
+    return rows.groupBy("phrase").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least)
+
+
+def without_known(rows: DataFrame, known: DataFrame, chars: int = 80) -> DataFrame:
+    """Rows whose prefix is not the prefix of a known text."""
+    key = F.left("text", F.lit(chars))
+    return rows.withColumn("_k", key).join(known.select(key.alias("_k")).distinct(), "_k", "left_anti").drop("_k")
