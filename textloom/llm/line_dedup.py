@@ -82,8 +82,10 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, batches: int = 4, fanou
     spark, version = docs.sparkSession, version_of(docs)
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     base = docs.select(doc_key().alias("doc"), version.alias("version"), lines.alias("lines"))
-    cuts = sorted(set(docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / batches for i in range(1, batches)], 0.01)))
-    bounds = [None, *(int(c) for c in cuts), None]
+    shares = [i / batches for i in range(1, batches)]
+    cuts = docs.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] if shares else None
+    cuts = sorted(set(cuts or []))
+    bounds = [None, *cuts, None]
     runs, hits = LineRuns(spark, fanout=fanout), []
     for low, high in zip(bounds, bounds[1:]):
         inside = F.lit(True) if low is None else F.col("doc") > low
