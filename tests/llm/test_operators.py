@@ -25,7 +25,7 @@ def rows():
     near = a.split()
     near[150] = "changed"
     texts = [a, a, b, " ".join(near), prose(3, 40) + " " + b[:400] + "\nA shared line of text\n" + prose(4, 30), "a SHARED line of text \n\nx\nA shared line of text", "", None, " \t\n", "one", "One",
-             "two words", prose(5, 9), prose(5, 10), "é ß 中文 ​ word \x0b\x0cx", prose(6, 9000), a[:900], "dup dup dup dup dup dup dup dup dup dup dup dup " * 9, "$$$ ### *** " * 20 + prose(7, 20)]
+             "two words", prose(5, 9), prose(5, 10), "é ß 中文 ​ word \x0b\x0cx", prose(6, 9000), a[:900], "dup dup dup dup dup dup dup dup dup dup dup dup " * 9, "a<|endoftext|>b <|startoftext|> It's 'S ５ e\u0301 ǅ İ", "$$$ ### *** " * 20 + prose(7, 20)]
     out = [(i * 3 + 1, t, "en" if i % 2 else None, "s" if i % 3 else None, 0, "x", "y", "z") for i, t in enumerate(texts)]
     # a repeated row, an id with two texts, null ids
     return out + [out[4], (1, "one", "en", None, 0, "x", "y", "z"), (None, a, None, None, None, None, None, None), (None, None, None, None, None, None, None, None)]

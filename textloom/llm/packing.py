@@ -17,6 +17,7 @@ join on (length, rank), so each document row is shuffled once, by the range sort
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 
@@ -28,32 +29,70 @@ from pyspark.sql import functions as F
 from textloom.llm.common import read_table, written
 
 #: Encodings of words that a task remembers; beyond, it forgets them all and goes on.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+#: Words that a task codes together.
+CHUNK_WORDS = 200_000
+
+
+def _word_chunks(texts: list[str | None]):
+    """(rows, words of each row) in chunks of about CHUNK_WORDS words, whole texts each."""
+    rows, parts, held = [], [], 0
+    for i, text in enumerate(texts):
+        words = (text or "").encode().split()
+        rows.append(i)
+        parts.append(words)
+        held += len(words)
+        if held >= CHUNK_WORDS:
+            yield rows, parts
+            rows, parts, held = [], [], 0
+    if rows:
+        yield rows, parts
+
+
+def _code_words(coder, words: list[bytes], join: int = 200):
+    """(word, ids as bytes) of each word. Many go through the tokenizer as one text, kept apart by a special token.
+
+    Words that hold a special token's string, or all if the tokenizer has none, are coded one by one.
+    """
+    added = [t.content for t in coder.get_added_tokens_decoder().values() if t.special]
+    mark = coder.token_to_id(added[-1]) if added else None
+    texts = [w.decode() for w in words]
+    odd = [i for i, t in enumerate(texts) if mark is None or any(a in t for a in added)]
+    plain = sorted(set(range(len(texts))).difference(odd)) if odd else range(len(texts))
+    groups = [plain[i : i + join] for i in range(0, len(plain), join)]
+    glue = f" {added[-1]} " if added else ""
+    for group, coded in zip(groups, coder.encode_batch_fast([glue.join([texts[i] for i in g]) for g in groups], add_special_tokens=False)):
+        ids = np.array(coded.ids, "<u4")
+        flat, start = ids.tobytes(), 0
+        for i, end in zip(group, [*(np.flatnonzero(ids == mark) * 4).tolist(), len(flat)]):
+            yield words[i], flat[start:end]
+            start = end + 4
+    for i, coded in zip(odd, coder.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
+        yield words[i], np.array(coded.ids, "<u4").tobytes()
 
 
 def _pieces(tokenizer: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         coder = Tokenizer.from_file(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
-
-        class Words(dict):
-            """The ids of a word as bytes. The tokenizer parts words at blanks, so a text is its words' ids in turn."""
-
-            def __missing__(self, word: bytes) -> bytes:
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                ids = coder.encode(word.decode(), add_special_tokens=False).ids
-                out = self[word] = np.array(ids, "<u4").tobytes()
-                return out
-
-        words, size = Words(), 4 * capacity
+        end, size = np.array([end_id], "<u4").tobytes(), 4 * capacity
+        # the ids of a word as bytes; the tokenizer parts words at blanks, so a text is its words' ids in turn
+        known: dict[bytes, bytes] = {}
         for batch in batches:
             ids, out = batch.column(0), []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                code = b"".join(map(words.__getitem__, (text or "").encode().split())) + end
-                out += [(i, n, n * capacity, len(cut := code[n * size : (n + 1) * size]) // 4, zlib.crc32(cut), cut if with_ids else None) for n in range(-(-len(code) // size))]
+            for numbers, parts in _word_chunks(batch.column(1).to_pylist()):
+                used = set().union(*parts)
+                if len(known) > REMEMBERED:
+                    known.clear()
+                new = list(used.difference(known))
+                known.update(_code_words(coder, new))
+                for i, words in zip(numbers, parts):
+                    code = b"".join(map(known.__getitem__, words)) + end
+                    for n in range(-(-len(code) // size)):
+                        cut = code[n * size : (n + 1) * size]
+                        out.append((i, n, n * capacity, len(cut) // 4, zlib.crc32(cut), cut if with_ids else None))
             rows, piece, start, length, crc, cuts = zip(*out) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())] + ([pa.array(cuts, pa.binary())] if with_ids else []),
@@ -137,7 +176,8 @@ def pack(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
     as often as they come.
     """
     n = max(2, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = pieces.repartitionByRange(n, "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
+    # written first: the range sort reads its input twice, once for the bounds
+    ordered = written(pieces, "pieces").repartitionByRange(n, "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
     ordered = written(ordered.withColumn("part", F.spark_partition_id()), "ordered")
     # a range holds few lengths, so this has at most n + capacity rows
     runs = sorted((r["length"], r["part"], r["count"]) for r in ordered.groupBy("length", "part").count().collect())
