@@ -27,9 +27,14 @@ from textloom.llm.common import NO_ID, doc_key, read_table, version_of, written
 from textloom.llm.graph import components
 from textloom.llm.wordhash import BASE2, chunks, grams, mix, range_hashes
 
+#: Names of documents (16 bytes each) up to which they are broadcast; beyond, that join is shuffled.
+BROADCAST_ROWS = 200_000
+
 #: 64-bit words of a parity sketch.
-SKETCH = 8
+SKETCH = 16
 BITS = [f"k{i}" for i in range(SKETCH)]
+#: The same for the second test, which distinct candidate pairs pass before their whole sets are fetched.
+WIDE = 64
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -52,17 +57,24 @@ def shingle_sets(batch_texts, width: int):
                 yield i, g[:0]
 
 
+def parity(s: np.ndarray, words: int) -> np.ndarray:
+    """A bit for each of 64 * words classes of hashes: whether the set has an odd number of them."""
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _sets(width: int):
     def run(batches):
         for batch in batches:
             n, s1, s2 = (np.zeros(batch.num_rows, t) for t in (np.int64, np.uint64, np.uint64))
-            sketch = np.zeros((batch.num_rows, SKETCH), np.uint64)
+            sketch, wide = (np.zeros((batch.num_rows, w), np.uint64) for w in (SKETCH, WIDE))
             for i, s in shingle_sets(batch.column(2).to_pylist(), width):
                 n[i], s1[i], s2[i] = len(s), mix(s).sum(), mix(s * BASE2).sum()
-                odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
-                sketch[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+                sketch[i], wide[i] = parity(s, SKETCH), parity(s, WIDE)
             columns = [pa.array(n), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (s1, s2, *sketch.T))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc", "version", "n", "s1", "s2", *BITS])
+            every = np.arange(0, wide.size + 1, WIDE, dtype=np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(every), pa.array(wide.ravel().view(np.int64))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc", "version", "n", "s1", "s2", *BITS, "wide"])
 
     return run
 
@@ -146,7 +158,8 @@ def _close(percent: int) -> Column:
 def links(base: DataFrame, sets: DataFrame, *, width: int, percent: int) -> DataFrame:
     """(a, b): smallest doc of each of two different sets that are similar, enough of them to connect all that are."""
     nodes = written(sets.filter("n > 0").groupBy("n", "s1", "s2", *BITS).agg(F.min("doc").alias("doc"), F.min_by("version", "doc").alias("version")), "nodes")
-    sigs = written(base.select("text").mapInArrow(_signatures(width, percent), "sig long, s1 long"), "signatures")
+    # made twice rather than written: they are larger than the texts
+    sigs = base.select("text").mapInArrow(_signatures(width, percent), "sig long, s1 long")
     shared = sigs.groupBy("sig").agg(F.min("s1").alias("pivot"), F.max("s1").alias("last")).filter("pivot < last").select("sig", "pivot")
     shared = written(sigs.join(shared, "sig").distinct(), "shared")
 
@@ -154,11 +167,22 @@ def links(base: DataFrame, sets: DataFrame, *, width: int, percent: int) -> Data
         """The pairs of (doc, version) whose whole sets are similar."""
         ends = [F.col("a.doc").alias("a"), F.col("a.version").alias("av"), F.col("b.doc").alias("b"), F.col("b.version").alias("bv")]
         pairs = written(pairs.select(*ends).distinct(), "pairs")
-        used = pairs.select(F.col("a").alias("doc"), F.col("av").alias("version")).unionAll(pairs.select("b", "bv")).distinct()
+        wide = sets.select("doc", "version", "n", "wide").dropDuplicates(["doc", "version"])
+
+        def beside(df: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+            for x in "ab":
+                df = df.join(table.select(F.col("doc").alias(x), F.col("version").alias(f"{x}v"), *(F.col(c).alias(f"{x}_{c}") for c in columns)), [x, f"{x}v"])
+            return df
+
+        flips = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        close = (100 + percent) * flips <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
+        pairs = written(beside(pairs, wide, "n", "wide").filter(close).select("a", "av", "b", "bv"), "close")
+        used = written(pairs.select(F.col("a").alias("doc"), F.col("av").alias("version")).unionAll(pairs.select("b", "bv")).distinct(), "used")
+        used = F.broadcast(used) if used.count() <= BROADCAST_ROWS else used
         whole = written(base.join(used, ["doc", "version"]).mapInArrow(_elements(width), "doc long, version long, elements array<long>").dropDuplicates(["doc", "version"]), "elements")
-        left, right = (whole.select(F.col("doc").alias(x), F.col("version").alias(f"{x}v"), F.col("elements").alias(f"{x}e")) for x in "ab")
-        both = F.size(F.array_intersect("ae", "be"))
-        return pairs.join(left, ["a", "av"]).join(right, ["b", "bv"]).filter(100 * both >= percent * (F.size("ae") + F.size("be") - both)).select("a", "b")
+        both = F.size(F.array_intersect("a_elements", "b_elements"))
+        similar = 100 * both >= percent * (F.size("a_elements") + F.size("b_elements") - both)
+        return beside(pairs, whole, "elements").filter(similar).select("a", "b")
 
     near = shared.filter("s1 != pivot").select("pivot", F.col("s1").alias("member")).distinct()
     pairs = near.join(nodes.alias("b"), F.col("member") == F.col("b.s1")).join(nodes.alias("a"), (F.col("pivot") == F.col("a.s1")) & _close(percent))
@@ -183,7 +207,7 @@ def jaccard_join(docs: DataFrame, *, width: int = 3, percent: int = 90) -> DataF
     """
     version = version_of(docs)
     base = docs.select(doc_key().alias("doc"), version.alias("version"), "text")
-    sets = written(base.mapInArrow(_sets(width), "doc long, version long, n long, s1 long, s2 long, " + ", ".join(f"{c} long" for c in BITS)), "sets")
+    sets = written(base.mapInArrow(_sets(width), "doc long, version long, n long, s1 long, s2 long, " + ", ".join(f"{c} long" for c in BITS) + ", wide array<long>"), "sets")
     edges = links(base, sets, width=width, percent=percent)
     same = sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"))
     rep = sets.join(same, ["n", "s1", "s2"], "left").select("doc", "version", "n", F.coalesce("rep", "doc").alias("rep"))
