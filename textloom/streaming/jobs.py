@@ -12,20 +12,25 @@ def read_landing(spark: SparkSession, path: str, schema, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Watermarks need an instant; times without a zone are in that of the session."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def unique(events: DataFrame, late: str = "2 minutes") -> DataFrame:
     """Drop repeated event ids that come within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return _timed(events, late).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def window_scores(events: DataFrame, every: str = "1 minute", late: str = "2 minutes") -> DataFrame:
     """Count and mean of each domain and window, final once the watermark has passed it."""
     w = F.window("ts", every)
-    return events.withWatermark("ts", late).groupBy(w, "domain").agg(F.count("*").alias("n"), F.avg("score").alias("mean")).select(F.col("window.start").alias("bucket"), "domain", "n", "mean")
+    return _timed(events, late).groupBy(w, "domain").agg(F.count("*").alias("n"), F.avg("score").alias("mean")).select(F.col("window.start").alias("bucket"), "domain", "n", "mean")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 minutes") -> DataFrame:
     w = F.session_window("ts", gap)
-    return events.withWatermark("ts", late).groupBy(w, "author_id").agg(F.count("*").alias("n")).select("author_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+    return _timed(events, late).groupBy(w, "author_id").agg(F.count("*").alias("n")).select("author_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
 def running_baselines(events: DataFrame) -> DataFrame:
