@@ -6,7 +6,8 @@ probability interpolates from the longest context down (Witten-Bell: a context w
 trusts the shorter one more). A URL's score is the mean over its characters of log p(accepted) - log p(rejected);
 the threshold lies between the means of the two classes, nearer to the one that scatters less.
 
-The models are tables. Each distinct (order + 1)-gram is scored once, and URLs join those scores.
+The models are tables. Each distinct gram is scored once at each length, from the score of the next shorter one, and
+URLs join the scores of the longest.
 """
 
 from __future__ import annotations
@@ -61,19 +62,23 @@ def gram_scores(labelled: DataFrame, grams: DataFrame, order: int) -> DataFrame:
     context = by_size.groupBy(F.expr("left(gram, size - 1)").alias("context"), "size").agg(
         *(F.sum(v).alias(f"n_{v}") for v in ("allow", "block")), *(F.sum((F.col(v) > 0).cast("int")).alias(f"t_{v}") for v in ("allow", "block"))
     )
-    parts = grams.select(F.col("gram").alias("whole"), size).select("whole", "size", F.expr("right(whole, size)").alias("gram"), F.expr("left(right(whole, size), size - 1)").alias("context"))
-    found = parts.join(by_size, ["gram", "size"], "left").join(context, ["context", "size"], "left").na.fill(0)
-    steps = F.sort_array(F.collect_list(F.struct("size", *(c for v in ("allow", "block") for c in (v, f"n_{v}", f"t_{v}")))))
+    context = written(context, "contexts")
 
-    def log_p(v: str) -> Column:
-        return F.log(
-            F.aggregate(
-                "steps", F.lit(1.0 / SYMBOLS),
-                lambda p, s: F.when(s[f"n_{v}"] + s[f"t_{v}"] == 0, p).otherwise((s[v] + s[f"t_{v}"] * p) / (s[f"n_{v}"] + s[f"t_{v}"])),
-            )
-        )
+    def step(v: str) -> Column:
+        n, t = F.coalesce(f"n_{v}", F.lit(0)), F.coalesce(f"t_{v}", F.lit(0))
+        return F.when(n + t == 0, F.col(f"p_{v}")).otherwise((F.coalesce(v, F.lit(0)) + t * F.col(f"p_{v}")) / (n + t)).alias(f"p_{v}")
 
-    return found.groupBy("whole").agg(steps.alias("steps")).select(F.col("whole").alias("gram"), (log_p("allow") - log_p("block")).alias("ratio"))
+    # from the shortest context up: a level has each of its grams once, so a key meets at most an alphabet of rows
+    shorter = None
+    for k in range(1, order + 2):
+        level = grams.select(F.right("gram", F.lit(k)).alias("gram")).distinct().withColumn("context", F.left("gram", F.lit(k - 1)))
+        if shorter is None:
+            level = level.withColumns({"p_allow": F.lit(1.0 / SYMBOLS), "p_block": F.lit(1.0 / SYMBOLS)})
+        else:
+            level = level.withColumn("shorter", F.right("gram", F.lit(k - 1))).join(shorter.withColumnRenamed("gram", "shorter"), "shorter")
+        counts, sums = (t.filter(F.col("size") == k).drop("size") for t in (by_size, context))
+        shorter = level.join(counts, "gram", "left").join(sums, "context", "left").select("gram", step("allow"), step("block"))
+    return shorter.select("gram", (F.log("p_allow") - F.log("p_block")).alias("ratio"))
 
 
 def filter_urls(pages: DataFrame, *, rules=RULES, order: int = 4) -> DataFrame:
@@ -90,7 +95,8 @@ def filter_urls(pages: DataFrame, *, rules=RULES, order: int = 4) -> DataFrame:
     urls = written(urls, "distinct_urls")
     labelled = urls.filter(F.col("verdict").isNotNull())
     all_grams = urls.select("host", "path", "verdict", F.explode(_grams(F.col("shown"), order + 1)).alias("gram"))
-    scores = written(gram_scores(labelled, all_grams.select("gram").distinct(), order), "scores")
+    grams = written(all_grams.select("gram").distinct(), "distinct_grams")
+    scores = written(gram_scores(labelled, grams, order), "scores")
     scored = written(all_grams.join(scores, "gram").groupBy("host", "path").agg(F.avg("ratio").alias("score")), "scored")
     means = {r["verdict"]: r for r in scored.join(labelled, ["host", "path"]).groupBy("verdict").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).collect()}
     if {"allow", "block"} <= means.keys():
