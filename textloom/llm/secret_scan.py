@@ -100,7 +100,8 @@ def scan(docs: DataFrame, *, least_docs: int = 3, threshold: float = 0.5) -> Dat
     version = version_of(docs)
     base = docs.select(doc_key().alias("doc"), version.alias("version"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
     found = candidates(base).withColumn("rule", known_format(F.col("value"), F.col("before")))
-    found = written(features(written(found, "candidates"), dictionary(docs, least_docs)), "features")
+    # the dictionary is a table, so that a frequent triple can be split in the join
+    found = written(features(written(found, "candidates"), written(dictionary(docs, least_docs), "dictionary")), "features")
     # how often a path holds findings, smoothed
     path = found.groupBy("source").agg(((F.sum(F.col("rule").cast("int")) + 1) / (F.count("*") + 100)).alias("path_rate"))
     shaped = found.join(path, "source")
