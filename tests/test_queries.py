@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from textloom.plans import stance_queries  # noqa: F401 - registers its queries
 from textloom.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
