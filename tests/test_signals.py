@@ -1,9 +1,9 @@
-from textloom.operators import signals
+from textloom.operators import scoring
 
 
 def scores(spark, *texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [r.asDict() for r in signals.score_documents(df, ["doc_id"]).orderBy("doc_id").collect()]
+    return [r.asDict() for r in scoring.score_documents(df, ["doc_id"]).orderBy("doc_id").collect()]
 
 
 def test_specific_text_scores_higher(spark):

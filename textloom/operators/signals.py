@@ -148,23 +148,3 @@ def information_density(features: DataFrame, keys: list[str]) -> DataFrame:
         - F.least(F.col("filler") * 0.05, F.lit(0.30))
     )
     return df.select(*keys, F.when(F.col("n") < 3, 0.5).otherwise(rounded(clamp(raw + 0.05), 4)).alias("information_density"))
-
-
-#: signal -> weight in the score
-WEIGHTS = {"information_density": 1.0, "template_structure": 1.0, "specificity": 1.8, "evidence_density": 1.0}
-
-
-def oversight(score: Column, text: Column) -> Column:
-    return F.when(F.char_length(F.trim(text)) < 40, "insufficient").when(score >= 63, "high").when(score >= 47, "mixed").otherwise("low")
-
-
-def score_documents(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, the signals of WEIGHTS, score 0-100, oversight): weighted mean; texts of fewer than three words score 0."""
-    f = text_features(docs, keys)
-    row = template_structure(f).withColumns({"specificity": specificity(F.col("sents")), "evidence_density": evidence_density(F.col("sents"))})
-    short = F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")) < 3
-    row = row.select(*keys, "text", "template_structure", "specificity", "evidence_density", short.alias("short"))
-    df = row.join(information_density(f, keys), keys)
-    total = sum(F.col(s) * w for s, w in WEIGHTS.items()) / sum(WEIGHTS.values())
-    df = df.withColumn("score", F.when(F.col("short"), 0.0).otherwise(rounded(total * 100, 1)))
-    return df.select(*keys, *WEIGHTS, "score", F.when(F.col("short"), "insufficient").otherwise(oversight(F.col("score"), F.col("text"))).alias("oversight"))

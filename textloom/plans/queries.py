@@ -9,6 +9,7 @@ from textloom.functions import lexicons as L
 from textloom.functions import text as T
 from textloom.operators import analytics as A
 from textloom.operators import datasets as D
+from textloom.operators import scoring
 from textloom.operators import signals as S
 from textloom.operators import similarity as X
 from textloom.sources.readers import corpus, domain_of, host_domain, score_events, table
@@ -138,7 +139,7 @@ def novelty_shape(spark, sf):
 
 @query()
 def score_documents(spark, sf):
-    return S.score_documents(corpus(spark, sf), ["doc_id", "domain"])
+    return scoring.score_documents(corpus(spark, sf), ["doc_id", "domain"])
 
 
 @query()

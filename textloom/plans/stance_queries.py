@@ -1,13 +1,15 @@
-"""Queries of the stance signals and the SQL that checks them."""
+"""Queries of the stance and domain signals and the SQL that checks them."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.functions import domain_patterns as DP
 from textloom.functions import patterns as P
+from textloom.operators import domains as DS
 from textloom.operators import signals as S
 from textloom.operators import stance as ST
-from textloom.plans.queries import _CURVE, CORPUS, _list, query, r4
+from textloom.plans.queries import _CURVE, CORPUS, SENTS, TOKS, _list, query, r4
 from textloom.sources.readers import corpus
 
 STANCE = f"(SELECT doc_id, concat_ws(' ', text, {_list(P.SAMPLES)}[doc_id % {len(P.SAMPLES)} + 1]) AS text FROM {CORPUS})"
@@ -99,3 +101,20 @@ s AS (SELECT doc_id, n, CASE WHEN n < 6 THEN 0.5 ELSE {r4('''greatest(0.0, least
 SELECT doc_id, score AS vocabulary_novelty, CASE WHEN n < 6 THEN 'insufficient_data' WHEN score >= 0.65 THEN 'human_curve' WHEN score >= 0.4 THEN 'mixed_curve' WHEN score >= 0.2 THEN 'flat_curve' ELSE 'ai_curve' END AS curve_verdict FROM s""")
 def sig_vocabulary_novelty(spark, sf):
     return ST.vocabulary_novelty(S.text_features(corpus(spark, sf), ["doc_id"]), ["doc_id"])
+
+
+def _domain_sql() -> str:
+    ctes, rows = [], []
+    for d, counts in DP.COUNTS.items():
+        own = ", ".join(f"{_count('latin', ('' if n in DP.WITH_CASE else '(?i)') + p)} AS {n}" for n, p in counts.items())
+        ctes.append(f"{d} AS (SELECT doc_id, domain, len({TOKS.format('text')}) AS n_words, greatest(len({SENTS}), 1) AS n_sents, {own} FROM t WHERE domain = '{d}')")
+        for name, weight, score, cut, high, low in DP.SIGNALS[d]:
+            rows.append(f"SELECT doc_id, domain, '{name}' AS signal, {r4(f'greatest(0e0, least(1e0, {score}))', 3)} AS score, {weight}e0 AS weight, {cut}e0 AS cut, '{high}' AS high, '{low}' AS low FROM {d}")
+    text = f"SELECT doc_id, domain, concat_ws(' ', text, {_list(DP.SAMPLES)}[doc_id % {len(DP.SAMPLES)} + 1]) AS text FROM {CORPUS}"
+    return f"WITH t AS (SELECT *, {_LATIN} AS latin FROM ({text})), {', '.join(ctes)} SELECT doc_id, domain, signal, score, weight, CASE WHEN score >= cut THEN high ELSE low END AS label FROM ({' UNION ALL '.join(rows)})"
+
+
+@query(_domain_sql())
+def domain_signals(spark, sf):
+    sample = F.element_at(F.array(*map(F.lit, DP.SAMPLES)), (F.col("doc_id") % len(DP.SAMPLES) + 1).cast("int"))
+    return DS.domain_signals(corpus(spark, sf).withColumn("text", F.concat_ws(" ", "text", sample)), ["doc_id"])
