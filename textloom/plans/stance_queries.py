@@ -48,7 +48,7 @@ _PARTS = [
 
 @query(f"SELECT doc_id, {r4(' + '.join(f'least({n}, {most}) * CAST({w} AS DOUBLE) / {most}' for w, n, most in _PARTS))} AS human_delta FROM {STANCE}")
 def sig_human_delta(spark, sf):
-    return stance_corpus(spark, sf).select("doc_id", ST.human_delta(F.col("text")).alias("human_delta"))
+    return stance_corpus(spark, sf).withColumn("low", F.lower("text")).select("doc_id", ST.human_delta(F.col("text"), F.col("low")).alias("human_delta"))
 
 
 def _hedges(c: str) -> str:
