@@ -55,3 +55,49 @@ SAMPLES = [
     "There is a holistic approach here. There is a value proposition here. There is a deep dive here. In conclusion, there is growth.",
     "We rejected the first design because the migration locked 12,500 rows; our fix batches them.",
 ]
+
+#: Words that a mined phrase must hold (as part of it); the reference's filler words.
+FILLER = [
+    "ensure", "enhance", "improve", "robust", "seamless", "leverage", "comprehensive", "innovative", "streamline", "empower", "harness", "cutting-edge", "state-of-the-art", "best practices",
+    "going forward", "moving forward", "in today", "crucial role", "key aspect", "various aspects", "overall", "effectively", "efficiently",
+]
+
+#: Phrases that are known slop already; the reference's pattern.
+KNOWN_SLOP = (
+    r"(?i)"
+    r"\b(?:in today's\s*(?:fast[- ]paced\s*)?world|"
+    r"it(?:'s|\s+is)\s+(?:important|crucial|essential|worth\s+noting)\s+(?:to\s+)?note|"
+    r"dive\s+(?:deep\s+)?(?:into|in)|"
+    r"let(?:'s|\s+us)\s+(?:dive|explore|delve)|"
+    r"in\s+this\s+(?:article|blog\s*post|guide|tutorial|deep\s*dive)|"
+    r"whether\s+you(?:'re|\s+are)\s+a\s+(?:seasoned|beginner|junior|senior)|"
+    r"buckle\s+up|"
+    r"without\s+further\s+ado|"
+    r"at\s+the\s+end\s+of\s+the\s+day|"
+    r"in\s+conclusion|to\s+(?:sum\s+up|wrap\s+up|conclude)|"
+    r"delve\s+(?:into|deeper)|"
+    r"a\s+testament\s+to|"
+    r"tapestry\s+(?:of|in)|"
+    r"rich\s+(?:history|ecosystem|landscape|tapestry)|"
+    r"game[- ]changer|game[- ]changing|"
+    r"cutting[- ]edge|state[- ]of[- ]the[- ]art|"
+    r"revolutionize|transformative|paradigm\s*shift|"
+    r"robust\s+(?:solution|framework|toolset|architecture)|"
+    r"seamless\s*(?:integration|experience|workflow)|"
+    r"empower(?:s|ing|ed)?\s+(?:users|teams|developers|organizations)|"
+    r"harness\s+(?:the\s+power\s+of|the\s+potential\s+of)|"
+    r"unlock\s+(?:the\s+potential|new\s+possibilities|insights)|"
+    r"streamline\s+(?:your|the)\s+(?:workflow|process|operations)|"
+    r"leverage\s+(?:our|this|the)\s+(?:powerful|robust|advanced)|"
+    r"comprehensive\s+(?:guide|solution|overview|analysis)|"
+    r"nuanced\s+(?:understanding|approach|perspective)|"
+    r"intricate\s+(?:details|relationship|web|dance)|"
+    r"meticulously\s+(?:crafted|designed|curated)|"
+    r"testament\s+(?:to\s+the|of\s+the)|"
+    r"stands\s+as\s+a\s+testament|"
+    r"plays\s+a\s+(?:crucial|vital|pivotal|essential)\s+role|"
+    r"it\s+is\s+worth\s+noting\s+that|"
+    r"it\s+is\s+important\s+to\s+(?:note|understand|recognize)|"
+    r"as\s+(?:an?\s+)?AI\s+(?:language\s+)?model|"
+    r"as\s+a\s+(?:large|generative)\s+(?:language|AI)\s+model)\b"
+)

@@ -34,6 +34,23 @@ def phrase_counts(docs: DataFrame, n: int, least: int, longest: int = 60) -> Dat
     return rows.groupBy("phrase").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least)
 
 
+def filler_phrases(docs: DataFrame, least: int, sizes: range = range(2, 7), longest: int = 60) -> DataFrame:
+    """(phrase, docs): as phrase_counts, of all `sizes` in words, that hold a filler word and no known slop."""
+    from textloom.functions import lexicons as L
+    from textloom.functions.text import tokens
+
+    filler, most, n = "|".join(L.FILLER), max(sizes), F.size("t")
+    toks = docs.select(tokens(F.col("text")).alias("t")).filter(F.array_join("t", " ").rlike(filler))
+    # fillers have one or two words: where one starts, and then only the phrases around it
+    at = toks.select("t", F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.concat_ws(" ", F.get("t", i), F.get("t", i + 1)).rlike(filler)).alias("at"))
+    fits = lambda i, s: F.filter(F.array(*map(F.lit, sizes)), lambda k: (s + k > i) & (s + k <= n))
+    grams = lambda i, s: F.transform(fits(i, s), lambda k: F.array_join(F.slice("t", s + 1, k), " "))
+    held = F.flatten(F.transform("at", lambda i: F.flatten(F.transform(F.sequence(F.greatest(i - (most - 1), F.lit(0)), i), lambda s: grams(i, s)))))
+    rows = at.select(F.explode(F.array_distinct(held)).alias("phrase")).filter(F.char_length("phrase").between(8, longest) & ~F.col("phrase").rlike("[0-9]"))
+    rows = rows.filter(F.col("phrase").rlike(filler) & ~F.col("phrase").rlike(L.KNOWN_SLOP))
+    return rows.groupBy("phrase").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least)
+
+
 def without_known(rows: DataFrame, known: DataFrame, chars: int = 80) -> DataFrame:
     """Rows whose prefix is not the prefix of a known text."""
     key = F.left("text", F.lit(chars))
