@@ -1,5 +1,8 @@
 """Dataset builders on small tables made for the case."""
 
+from pyspark.sql import functions as F
+
+from textloom.functions.text import html_text
 from textloom.operators import datasets as D
 
 
@@ -10,3 +13,9 @@ def test_filler_phrases_of_two_to_six_words(spark):
     want = {" ".join(words[i : i + n]): 3 for n in range(2, 7) for i in range(len(words) - n + 1) if "ensure" in words[i : i + n]} | {"a robust": 3}
     # phrases with the known "robust solution" and phrases of two documents are out
     assert {r["phrase"]: r["docs"] for r in D.filler_phrases(df, 3).collect()} == {p: n for p, n in want.items() if 8 <= len(p) <= 60}
+
+
+def test_html_text_is_whole(spark):
+    df = spark.createDataFrame([("<p>" + "word " * 2000 + "</p><script>x</script> end",)], "html string")
+    assert df.select(html_text(F.col("html"))).first()[0] == "word " * 2000 + "end"
+    assert df.select(html_text(F.col("html"), most=3000)).first()[0] == ("word " * 2000)[:3000]

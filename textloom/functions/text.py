@@ -62,11 +62,11 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(wa) == 0) | (F.size(wb) == 0), 0.0).otherwise(F.size(F.array_intersect(wa, wb)) / F.size(wa))
 
 
-def html_text(html: Column, most: int = 3000) -> Column:
+def html_text(html: Column, most: int | None = None) -> Column:
     text = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", " ")
     text = F.regexp_replace(text, r"(?is)<style[^>]*>.*?</style>", " ")
     text = F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"\s+", " "))
-    return F.substring(text, 1, most)
+    return text if most is None else F.substring(text, 1, most)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -72,6 +72,11 @@ def word_entropy(spark, sf):
 
 @query("SELECT page_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 3000) AS text FROM pages")
 def html_to_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.html_text(F.col("html"), most=3000).alias("text"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+def html_to_whole_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 
 
