@@ -124,6 +124,14 @@ def test_signatures_never_miss():
                 assert set(jaccard_join.signatures(s, 90).tolist()) & set(jaccard_join.signatures(t, 90).tolist())
 
 
+def test_decontaminate_by_items_without_id(spark):
+    a, b = prose(21, 30), prose(22, 30)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a + " " + b), (4, prose(23, 30))], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, a), (None, a), (7, b)], "item_id long, text string")
+    got = decontaminate.decontaminate(docs, bench).select("doc_id", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    same(got, [(1, 30, 1, sha(""), True), (2, 30, 1, sha("7"), True), (3, 60, 2, sha("7"), True), (4, 0, 0, sha(""), False)])
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_decontaminate(spark, docs, nothing, monkeypatch, small):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 10**6 if small else -1)

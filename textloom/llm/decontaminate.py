@@ -115,7 +115,7 @@ def _around():
 
 
 def contaminated_windows(docs: DataFrame, benchmark: DataFrame, version: Column, *, window: int = 10) -> DataFrame:
-    """(doc, version, pos, length, item_id set as `items`): the windows of benchmark items that documents hold.
+    """(doc, version, pos, length, item_id set as `items`, null among them): the windows of benchmark items that documents hold.
 
     doc is the doc_id (nulls last), version as of version_of(). Null texts and ids of the benchmark: no window, an
     item without id. Equal items are all named.
@@ -133,23 +133,23 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, version: Column,
     hits = prints.join(side(marks), ["length", "h"]).groupBy("doc", "version").agg(F.collect_set(F.struct("length", "pos")).alias("hits"))
     hits = written(hits, "hits")
     near = base.join(hits, ["doc", "version"]).select("doc", "version", "text", "hits").mapInArrow(_around(), "doc long, version long, length int, pos int, h1 long, h2 long")
-    known = items.groupBy("length", "h1", "h2").agg(F.collect_set("item_id").alias("items"))
-    return near.join(side(known), ["length", "h1", "h2"]).select("doc", "version", "pos", "length", "items")
+    known = items.groupBy("length", "h1", "h2").agg(F.collect_set(F.struct("item_id")).alias("items"))  # in structs, as a set drops nulls
+    return near.join(side(known), ["length", "h1", "h2"]).select("doc", "version", "pos", "length", F.col("items.item_id").alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
     """Mark the documents that hold a window of a benchmark item.
 
     Returns the columns of docs (without those named like the new ones) and n_words, n_hit (words inside any
-    occurrence), n_items (items with occurring windows), items_sha256 (of their ids, sorted as strings,
-    comma-joined), contaminated. Null texts have no words. Rows with equal doc_id and text get equal results.
+    occurrence), n_items (items with occurring windows; all without id count as one), items_sha256 (of their ids, sorted
+    as strings, comma-joined, without null), contaminated. Null texts have no words. Rows with equal doc_id and text get equal results.
     """
     version = version_of(docs)
     found = written(contaminated_windows(docs, benchmark, version, window=window), "found")
     spots = found.select("doc", "version", "pos", "length").distinct().groupBy("doc", "version").agg(F.collect_list(F.struct("pos", "length")).alias("spots"))
     names = (
         found.select("doc", "version", F.explode("items").alias("item")).select("doc", "version", F.col("item").cast("string")).distinct()
-        .groupBy("doc", "version").agg(F.sort_array(F.collect_list("item")).alias("items"))
+        .groupBy("doc", "version").agg(F.sort_array(F.collect_list("item")).alias("items"), F.count("*").alias("n_items"))
     )
     # windows in order of their start; a word counts for the first window that reaches it
     ordered = F.sort_array("spots")
@@ -161,15 +161,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) ->
         ),
         lambda a: a["hit"].cast("long"),
     )
-    per_doc = spots.join(names, ["doc", "version"]).select("doc", "version", step.alias("n_hit"), "items")
+    per_doc = spots.join(names, ["doc", "version"]).select("doc", "version", step.alias("n_hit"), "n_items", "items")
     new = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     own = [c for c in docs.columns if c not in new]
     keyed = docs.select(*own, doc_key().alias("__doc"), version.alias("__version"))
-    per_doc = per_doc.select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), "n_hit", "items")
+    per_doc = per_doc.select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), "n_hit", F.col("n_items").alias("__n_items"), "items")
     clean = ascii_words("text")
     out = keyed.withColumn("n_words", clean).join(per_doc, ["__doc", "__version"], "left")
     return out.select(
-        *own, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        *own, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("__n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 
