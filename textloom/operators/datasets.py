@@ -52,6 +52,24 @@ def filler_phrases(docs: DataFrame, least: int, sizes: range = range(2, 7), long
 
 
 def without_known(rows: DataFrame, known: DataFrame, chars: int = 80) -> DataFrame:
-    """Rows whose prefix is not the prefix of a known text."""
+    """Rows whose prefix is not the prefix of a known text. Nulls as in NOT IN: a null text is in no known set and not outside one either."""
     key = F.left("text", F.lit(chars))
-    return rows.withColumn("_k", key).join(known.select(key.alias("_k")).distinct(), "_k", "left_anti").drop("_k")
+    seen = known.select(key.alias("_k")).distinct()
+    size = seen.agg(F.count("*").alias("_n"), F.count_if(F.col("_k").isNull()).alias("_null"))  # one row
+    out = rows.withColumn("_k", key).join(seen, "_k", "left_anti").join(F.broadcast(size))
+    return out.filter((F.col("_n") == 0) | ((F.col("_null") == 0) & F.col("_k").isNotNull())).drop("_k", "_n", "_null")
+
+
+def without_passages(rows: DataFrame, known: DataFrame, words: int = 10) -> DataFrame:
+    """Rows that hold no run of `words` words of a known text, anywhere; of a shorter known text, no run of all its words. Null texts hold none."""
+    from textloom.functions.text import tokens
+
+    def runs(n):
+        own = F.when((F.size("_t") >= n) & (n > 0), F.transform(F.sequence(F.lit(0), F.size("_t") - n), lambda i: F.array_join(F.slice("_t", i + 1, n), " ")))
+        return F.explode(F.array_distinct(own))
+
+    seen = known.select(tokens(F.col("text")).alias("_t")).withColumn("n", F.least(F.size("_t"), F.lit(words))).select("n", runs(F.col("n")).alias("run")).distinct()
+    sizes = F.broadcast(seen.select("n").distinct())  # `words` rows at most
+    docs = rows.select("doc_id", tokens(F.col("text")).alias("_t"))
+    held = docs.join(sizes).select("doc_id", "n", runs(F.col("n")).alias("run")).join(seen, ["n", "run"], "left_semi").select("doc_id").distinct()
+    return rows.join(held, "doc_id", "left_anti")

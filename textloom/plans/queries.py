@@ -338,5 +338,15 @@ def known_phrase_antijoin(spark, sf):
     return D.without_known(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select("doc_id")
 
 
+_RUNS = "(SELECT {id}, n, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))) AS run FROM {rows})"
+
+
+@query(f"""WITH k AS (SELECT item_id, t, least(len(t), 10) AS n FROM (SELECT item_id, {TOKS.format('text')} AS t FROM benchmark) WHERE len(t) > 0), r AS (SELECT DISTINCT n, run FROM {_RUNS.format(id="item_id", rows="k")}),
+d AS (SELECT doc_id, t, n FROM (SELECT doc_id, {TOKS.format('text')} AS t FROM documents), (SELECT DISTINCT n FROM r) WHERE len(t) >= n)
+SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT doc_id AS hit FROM {_RUNS.format(id="doc_id", rows="d")} JOIN r USING (n, run)) WHERE hit = doc_id)""")
+def known_passage_antijoin(spark, sf):
+    return D.without_passages(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")).select("doc_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversight_counts(spark, sf_dir)
