@@ -312,3 +312,19 @@ def test_secret_scan(spark, nothing):
     assert {r["doc_id"] for r in got} == {i for i in range(60) if i % 3 == 0}
     assert all(texts[r["doc_id"]][r["start"] : r["end"]] == r["value"] for r in got)
     assert secret_scan.scan(nothing).count() == 0
+
+
+def test_secret_scan_finds_short_and_odd_values(spark):
+    secrets = ["S3cr3t99", "aB3$kd9!Qz.7", "eyJhbGci.eyJzdWIi.x9", "four words of it", "é#1"]
+    texts = [f'{prose(1, 9)} password = "{v}" {prose(2, 5)}' for v in secrets] + ["my_database_password: S3cr3t99, and", "https://a.org/p?n=1&token=S3cr3t99&b=2", '{"pwd": "S3cr3t99"}', "cmd='--secret=S3cr3t99'"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {(r["doc_id"], r["value"]) for r in secret_scan.scan(df).collect()}
+    assert got == set(enumerate(secrets + ["S3cr3t99"] * 4))
+
+
+def test_secret_scan_learns_from_labelled_findings_only(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(secret_scan, "train", lambda labelled: seen.extend(labelled.collect()))
+    texts = ['token = "Zx81kQpL7mN2"', "sha256: " + "ab12" * 16, "id 123e4567-e89b-12d3-a456-426614174000", "in /usr/local/share/doc", "unknown Qz81-kQpL7-mN2xx"]
+    secret_scan.scan(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string"))
+    assert {(r["doc"], r["label"]) for r in seen} == {(0, 1.0), (1, 0.0), (2, 0.0), (3, 0.0)}

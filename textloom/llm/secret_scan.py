@@ -1,10 +1,12 @@
 """Secret scan with a random forest against false positives (operator 5), DataFrame operations only.
 
-Candidates are all runs of key-like characters that are long enough, with the text before them. The forest
+Candidates are all runs of key-like characters that are long enough, and all assigned or quoted values, of any length and
+alphabet, with the text before them. The forest
 sees a candidate's length, its character transitions (how often the kind of character changes), how much
 of it a dictionary of the corpus covers (letter triples of words that several documents use), the path it
-stands in (here: the source) and the neighbouring word. It learns from labelled findings, and drops the
-candidates that it takes for false positives.
+stands in (here: the source) and the neighbouring word. It learns from labelled findings, secrets and false ones
+(checksums, ids, paths, words of the corpus), and drops the candidates that it takes for false positives. Candidates that
+no rule labels are only judged.
 """
 
 from __future__ import annotations
@@ -17,8 +19,15 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import doc_key, read_table, version_of, written
 
-#: A candidate: a whole run of these characters, of 12 or more.
-CANDIDATE = r"[A-Za-z0-9+/_-]{12,}+"
+#: A whole run of these characters, of 12 or more.
+RUN = r"[A-Za-z0-9+/_-]{12,}+"
+
+_NAME = r"(?:password|passwd|pwd|secret|token|api_?key|access_?key)"
+#: Characters that end a value if nothing of it follows; the first of them also before the name of the next value.
+_SPLIT, _TAIL = r",;&?|{(\[", r",;&?|{(\[.)\]}>"
+_VALUE = rf"""(?:(?!(?i:{_NAME})["']?\s{{0,8}}[:=])(?:[^\s"'{_TAIL}]|[{_TAIL}](?![{_TAIL}]{{0,8}}+(?:[\s"']|$))(?<![{_SPLIT}](?=["']?[\w-]{{1,64}}["']?\s{{0,2}}[:=]))))++"""
+#: Quoted behind a name for secrets (blanks belong to it), behind : or =, or in quotes that open behind no word (but not a name).
+VALUE = rf"""(?<=["'])(?<=(?i:{_NAME})["']?\s{{0,8}}[:=]>?\s{{0,8}}["'])[^"'\r\n]++(?=["'])|(?<=[:=>\s"'])(?<=[:=]>?\s{{0,8}}["']?)(?!//){_VALUE}|(?<=["'])(?<!\w.)[^\s"']++(?=["'](?!\s{{0,8}}[:=]))"""
 CONTEXT = 24
 
 #: Words before a value that make it a secret, and words that make it something else.
@@ -28,11 +37,11 @@ NEAR_OTHER = ["sha", "sha1", "sha256", "md5", "commit", "checksum", "digest", "h
 FEATURES = ["length", "transitions", "digits", "upper", "lower", "distinct", "coverage", "near_secret", "near_other", "assigned", "quoted", "path_rate"]
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(doc, version, source, start, end, value, before): every candidate of every text, in code points."""
+def _found(docs: DataFrame, pattern: str) -> DataFrame:
+    """(doc, version, source, start, end, value, before): every match of every text, in code points."""
     text = F.coalesce("text", F.lit(""))
-    gaps = F.split(text, CANDIDATE, -1)
-    found = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("value"))
+    gaps = F.split(text, pattern, -1)
+    found = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
     parts = F.transform(found, lambda x, i: F.struct(i.alias("i"), F.char_length(x["gap"]).alias("gap"), x["value"].alias("value"), F.right(x["gap"], F.lit(CONTEXT)).alias("before")))
     rows = docs.select("doc", "version", "source", F.explode(parts).alias("m")).select("doc", "version", "source", "m.*").filter(F.col("value").isNotNull())
     upto = Window.partitionBy("doc", "version").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -41,6 +50,13 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.select("doc", "version", "source", (F.col("end") - F.char_length("value")).alias("start"), "end", "value", "before")
 
 
+def candidates(docs: DataFrame) -> DataFrame:
+    """(doc, version, source, start, end, value, before): runs and values, also runs inside values; one row each, with the longer text before it."""
+    both = _found(docs, RUN).unionAll(_found(docs, VALUE))
+    before = F.max_by("before", F.struct(F.char_length("before"), "before"))
+    return both.groupBy("doc", "version", "start", "end", "value").agg(F.min("source").alias("source"), before.alias("before")).select("doc", "version", "source", "start", "end", "value", "before")
+
+
 def dictionary(docs: DataFrame, least_docs: int = 3) -> DataFrame:
     """(triple): letter triples of the words of 4 to 11 letters that at least `least_docs` documents use."""
     words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]++"))
@@ -55,7 +71,7 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     kind = F.translate(F.translate(F.translate(value, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A" * 26), "abcdefghijklmnopqrstuvwxyz", "a" * 26), "0123456789", "0" * 10)
     n = F.char_length(value)
     own = found.select("value").distinct()
-    triples = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substr(F.lower(value), i, F.lit(3)))
+    triples = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr(F.lower(value), i, F.lit(3)))
     hits = own.select("value", F.explode(triples).alias("triple")).join(words.withColumn("known", F.lit(1)), "triple", "left").groupBy("value").agg(F.avg(F.coalesce("known", F.lit(0))).alias("coverage"))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     word = F.lower(F.regexp_extract("before", r"([A-Za-z_0-9]+)[^A-Za-z_0-9]*$", 1))
@@ -67,7 +83,7 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
             "digits": share("[0-9]"), "upper": share("[A-Z]"), "lower": share("[a-z]"),
             "distinct": F.size(F.array_distinct(F.split(value, ""))) / n,
             "near_secret": flag(word.isin(NEAR_SECRET)), "near_other": flag(word.isin(NEAR_OTHER)),
-            "assigned": flag(F.col("before").rlike(r"[:=]\s*[\"']?$")), "quoted": flag(F.col("before").rlike(r"[\"']$")),
+            "assigned": flag(F.col("before").rlike(r"[:=]>?\s*[\"']?$")), "quoted": flag(F.col("before").rlike(r"[\"']$")),
         }
     )
 
@@ -75,10 +91,18 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
 def known_format(value: Column, before: Column) -> Column:
     """Findings of the fixed rules: cloud key ids, and values assigned to a name for secrets."""
     return value.rlike(r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36}$|^xox[abp]-[0-9A-Za-z-]{10,}$") | before.rlike(
-        r"(?i)(?:password|passwd|pwd|secret|token|api_?key|access_?key)\s*[:=]\s*[\"']?$"
+        rf"""(?i){_NAME}["']?\s*[:=]>?\s*["']?$"""
     )
 
 
+def known_false(value: Column, before: Column, coverage: Column) -> Column:
+    """Findings labelled as false: uuids, checksums by their name, paths, and words (letters that the dictionary covers)."""
+    hexa, uuid = value.rlike(r"(?i)^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{128})$"), value.rlike(r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    path = value.rlike(r"^(?:\.{0,2}/)?(?:[a-z0-9_.-]+/)++[a-z0-9_.-]*+$")
+    words = value.rlike(r"^[\p{L}_/-]++$") & (coverage >= 0.9)
+    return uuid | (hexa & before.rlike(r"(?i)\b(?:sha-?\d*|md5|commit|checksum|digest|hash)[^A-Za-z0-9]*$")) | path | words
+
+
 def train(labelled: DataFrame, *, most: int = 20_000, trees: int = 20, seed: int = 5) -> RandomForestClassificationModel | None:
     """Fit the forest on labelled findings (FEATURES, label), on at most `most` of either label, by the smallest hash."""
     sides = [labelled.filter(F.col("label") == x).orderBy(F.xxhash64("value", "start"), "doc", "start").limit(most) for x in (0.0, 1.0)]
@@ -93,8 +117,8 @@ def train(labelled: DataFrame, *, most: int = 20_000, trees: int = 20, seed: int
 def scan(docs: DataFrame, *, least_docs: int = 3, threshold: float = 0.5) -> DataFrame:
     """Secrets: doc_id, start, end (code points), value, rule (a fixed rule found it), score; one row each.
 
-    The fixed rules give the labelled findings to learn from; the forest judges all candidates, also those of the rules. Null
-    and empty texts hold none. If there is nothing to tell apart, the rules' findings are returned with score 1.
+    The fixed rules give the labelled findings to learn from, secret or false; the forest judges all candidates. Null
+    and empty texts hold none. A secret inside another one is not reported. If there is nothing to tell apart, the rules' findings are returned with score 1.
     Rows that share a doc_id are told apart by their text; equal rows are reported once.
     """
     version = version_of(docs)
@@ -105,12 +129,15 @@ def scan(docs: DataFrame, *, least_docs: int = 3, threshold: float = 0.5) -> Dat
     # how often a path holds findings, smoothed
     path = found.groupBy("source").agg(((F.sum(F.col("rule").cast("int")) + 1) / (F.count("*") + 100)).alias("path_rate"))
     shaped = found.join(path, "source")
-    model = train(shaped.withColumn("label", F.col("rule").cast("double")))
+    label = F.when(F.col("rule"), 1.0).when(known_false(F.col("value"), F.col("before"), F.col("coverage")), 0.0)
+    model = train(shaped.withColumn("label", label).filter(F.col("label").isNotNull()))
     if model is None:
         out = shaped.filter("rule").withColumn("score", F.lit(1.0))
     else:
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
         out = model.transform(vectors.transform(shaped)).withColumn("score", vector_to_array("probability")[1]).filter(F.col("score") >= threshold)
+    earlier = Window.partitionBy("doc", "version").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumn("reach", F.max("end").over(earlier)).filter(F.col("reach").isNull() | (F.col("reach") < F.col("end")))
     ids = docs.select("doc_id", doc_key().alias("doc")).distinct()
     return out.join(ids, "doc").select("doc_id", "start", "end", "value", "rule", "score")
 
