@@ -134,9 +134,36 @@ def webhook_matches(events: DataFrame, hooks: DataFrame) -> DataFrame:
     return events.join(spread, "domain").filter(fires).select("event_id", "hook_id")
 
 
+def _composed(batches):
+    """One row a domain of a sorted partition: its steps as one map x -> min(high, max(low, x + shift)), in hundredths."""
+    import pyarrow as pa
+
+    domain, first, out, low, high, shift = None, None, [], 0, 0, 0
+    for batch in batches:
+        for d, key, step in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if first is None or d != domain:
+                if first is not None:
+                    out.append((domain, first, shift, low, high))
+                domain, first, low, high, shift = d, key, 3000, 7000, 0
+            low, high, shift = min(7000, max(3000, low + step)), min(7000, max(3000, high + step)), shift + step
+    if first is not None:
+        out.append((domain, first, shift, low, high))
+        types = [batch.schema.field(0).type, batch.schema.field(1).type, pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["domain", "first", "shift", "low", "high"])
+
+
 def adapt_thresholds(feedback: DataFrame, start: float = 48.0) -> DataFrame:
-    """(domain, threshold): each feedback row moves it by 0.05 times plus or minus min(2, 2 confidence), between 30 and 70."""
+    """(domain, threshold): each feedback row moves it by 0.05 times plus or minus min(2, 2 confidence), between 30 and 70.
+
+    Rows go by (ts, id). A step is a whole number of hundredths, and clamped shifts compose into one, so each range of rows
+    becomes one row a domain, and only these few are folded in one place.
+    """
     step = F.when(F.col("was_too_harsh"), -1).otherwise(1) * F.least(F.lit(2.0), 2 * F.col("confidence")) * 0.05
-    rows = feedback.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("ts", "id", step.alias("step")))).alias("rows"))
-    fold = F.aggregate("rows", F.lit(start), lambda a, r: rounded(F.greatest(F.lit(30.0), F.least(F.lit(70.0), a + r["step"])), 2))
-    return rows.select("domain", fold.alias("threshold"))
+    key = F.struct("ts", "id", F.floor(step * 100 + 0.5).cast("long").alias("step"))
+    rows = feedback.select("domain", key.alias("key")).select("domain", "key", "key.step")
+    ranges = rows.repartitionByRange("domain", "key").sortWithinPartitions("domain", "key")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    parts = ranges.mapInArrow(_composed, f"domain {kinds['domain']}, first {kinds['key']}, shift long, low long, high long")
+    parts = parts.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("first", "shift", "low", "high"))).alias("parts"))
+    fold = F.aggregate("parts", F.lit(round(start * 100)).cast("long"), lambda a, p: F.greatest(p["low"], F.least(p["high"], a + p["shift"])))
+    return parts.select("domain", (fold / 100).alias("threshold"))
