@@ -1,7 +1,7 @@
 """URL filter by the ratio of two character language models (operator 9), DataFrame operations only.
 
 Rules decide the URLs they fit and label the training data: accepted and rejected URLs. For either class all
-characters of all labelled URLs are counted after contexts of every length up to `order`; a character's
+characters of host and path of all distinct labelled URLs (without query string and fragment) are counted after contexts of every length up to `order`; a character's
 probability interpolates from the longest context down (Witten-Bell: a context with many different followers
 trusts the shorter one more). A URL's score is the mean over its characters of log p(accepted) - log p(rejected);
 the threshold lies between the means of the two classes, nearer to the one that scatters less.
