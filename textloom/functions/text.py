@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: All characters that count as blank at the ends of a text.
+WHITESPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITESPACE))
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """Deal the rows out anew if a scan has fewer partitions than there are cores, as a small file has; larger inputs stay as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, with all columns computed where they are.
+
+    Filters and explodes of a computed column are moved below the columns that it is made of, with each replaced by its
+    expression; over some layers of arrays such an expression grows without bounds. Nothing is moved below a generator.
+    """
+    return df.select(F.explode_outer(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))).alias("row")).select("row.*")
+
+
 def sentences(text: Column) -> Column:
     parts = F.split(F.trim(text), r"(?U)(?<=[.!?])\s+")
     return F.filter(F.transform(parts, F.trim), lambda s: s != "")
@@ -44,11 +67,15 @@ def all_matches(text: Column, patterns: list[str]) -> Column:
     return sum((F.regexp_count(text, F.lit(p)) for p in patterns), F.lit(0))
 
 
+def ngrams(text: Column, n: int) -> Column:
+    """Every n characters that follow each other, in one pass over the text."""
+    first = F.regexp_extract_all(text, F.lit(f"(?s)(.)(?=.{{{n - 1}}})"), F.lit(1))
+    rest = F.regexp_extract_all(text, F.lit(f"(?s).(?=(.{{{n - 1}}}))"), F.lit(1))
+    return F.zip_with(first, rest, lambda a, b: F.concat(a, b))
+
+
 def trigrams(text: Column) -> Column:
-    low = F.lower(text)
-    return F.when(F.char_length(low) < 3, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.char_length(low) - 2), lambda i: F.substr(low, i, F.lit(3)))
-    )
+    return ngrams(F.lower(text), 3)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -75,3 +102,27 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def match_spans(text: Column, pattern: str) -> Column:
+    """(start, end, match) of every match of the pattern, in characters from 0."""
+    gaps = F.split(text, pattern, -1)
+    found = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    kind = "struct<end:int,spans:array<struct<start:int,end:int,match:string>>>"
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("spans")).cast(kind)
+
+    def step(a: Column, x: Column) -> Column:
+        at = a["end"] + F.char_length(x["gap"])
+        end = at + F.char_length(x["match"])
+        return F.struct(end.alias("end"), F.concat(a["spans"], F.array(F.struct(at.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("spans")).cast(kind)
+
+    return F.aggregate(F.filter(found, lambda x: x["match"].isNotNull()), start, step, lambda a: a["spans"])
+
+
+def tiles(text: Column, size: int) -> Column:
+    """The text in pieces of `size` characters, the last one shorter."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def lines(text: Column) -> Column:
+    return F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")

@@ -51,10 +51,19 @@ def relative_scores(events: DataFrame) -> DataFrame:
                      pct("gm", "gs").alias("global_percentile"), verdict.alias("verdict"), confidence.alias("confidence"))
 
 
-def running_baseline(events: DataFrame, key: str = "domain") -> DataFrame:
-    """Mean and count up to and including each event of its key, by (ts, event_id), and whether it is below that mean."""
-    w = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    out = events.withColumns({"seen": F.count("*").over(w), "running_mean": F.avg("score").over(w)})
+def running_baseline(events: DataFrame, key: str = "domain", every: str = "hour") -> DataFrame:
+    """Mean and count up to and including each event of its key, by (ts, event_id), and whether it is below that mean.
+
+    Each stretch of time has its own running sums; the sums of all stretches before come from one row a key and stretch. So
+    a key's rows are never in one task, only its stretches are.
+    """
+    rows = events.withColumn("_at", F.date_trunc(every, "ts"))
+    parts = rows.groupBy(key, "_at").agg(F.count("*").alias("_n"), F.sum("score").alias("_sum"))
+    earlier = Window.partitionBy(key).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(key, "_at", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_sum"))
+    w = Window.partitionBy(key, "_at").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({"_own": F.count("*").over(w), "_sums": F.sum("score").over(w)}).join(parts, [key, "_at"])
+    out = out.withColumn("seen", F.col("_n") + F.col("_own")).withColumn("running_mean", (F.col("_sum") + F.col("_sums")) / F.col("seen"))
     return out.select("event_id", key, "score", "seen", rounded(F.col("running_mean") + 1e-9, 4).alias("running_mean"), (F.col("score") < F.col("running_mean") - 1e-9).alias("is_slop"))
 
 
@@ -65,9 +74,14 @@ def leaderboard(events: DataFrame, key: str, below: float) -> DataFrame:
 
 
 def trend(events: DataFrame, key: str, newest: int = 5000) -> DataFrame:
-    """Mean of the newest quarter of a key's latest rows less the mean of the rest."""
-    w = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("event_id"))
-    df = events.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= newest).withColumn("n", F.count("*").over(Window.partitionBy(key)))
+    """Mean of the newest quarter of a key's latest rows less the mean of the rest.
+
+    Each task's part of a key keeps its newest rows before they meet, so a key has a bounded number of rows in the last window.
+    """
+    order = [F.desc("ts"), F.desc("event_id")]
+    part = Window.partitionBy(key, F.pmod(F.xxhash64("event_id"), F.lit(64))).orderBy(*order)
+    df = events.withColumn("rn", F.row_number().over(part)).filter(F.col("rn") <= newest)
+    df = df.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rn") <= newest).withColumn("n", F.count("*").over(Window.partitionBy(key)))
     quarter = F.floor(F.col("n") / 4)
     return df.groupBy(key).agg(
         F.max("n").alias("n"), rounded(F.avg("score"), 4).alias("avg_score"),
@@ -167,3 +181,105 @@ def adapt_thresholds(feedback: DataFrame, start: float = 48.0) -> DataFrame:
     parts = parts.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("first", "shift", "low", "high"))).alias("parts"))
     fold = F.aggregate("parts", F.lit(round(start * 100)).cast("long"), lambda a, p: F.greatest(p["low"], F.least(p["high"], a + p["shift"])))
     return parts.select("domain", (fold / 100).alias("threshold"))
+
+
+def repo_profiles(events: DataFrame) -> DataFrame:
+    """(repo_id, domain, sample_count, mean_score, std_dev, min_score, max_score, authors): authors as (author_id, sample_count, mean_score), most active first."""
+    author = events.filter(F.col("author_id").isNotNull()).groupBy("repo_id", "domain", "author_id").agg(F.count("*").alias("n"), rounded(F.avg("score"), 1).alias("mean"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "author_id", "mean"))), lambda x: F.struct(x["author_id"].alias("author_id"), (-x["o"]).alias("sample_count"), x["mean"].alias("mean_score")))
+    authors = author.groupBy("repo_id", "domain").agg(listed.alias("authors"))
+    whole = events.filter(F.col("repo_id").isNotNull()).groupBy("repo_id", "domain").agg(
+        F.count("*").alias("sample_count"), rounded(F.avg("score"), 1).alias("mean_score"), rounded(F.coalesce(F.stddev_samp("score"), F.lit(0.0)), 2).alias("std_dev"),
+        rounded(F.min("score"), 1).alias("min_score"), rounded(F.max("score"), 1).alias("max_score"),
+    )
+    return whole.join(authors, ["repo_id", "domain"], "left")
+
+
+def user_summaries(events: DataFrame, newest: int = 50) -> DataFrame:
+    """(author_id, total_scored, average_score, low_percent, domains) over the newest events of each author; domains maps to means, low is under 47."""
+    order = [F.desc("ts"), F.desc("event_id")]
+    df = events.withColumn("rn", F.row_number().over(Window.partitionBy("author_id").orderBy(*order))).filter(F.col("rn") <= newest)
+    cells = df.groupBy("author_id", "domain").agg(F.count("*").alias("n"), F.sum("score").alias("sum"), F.count_if(F.col("score") < 47).alias("low"))
+    pairs = F.sort_array(F.collect_list(F.struct("domain", rounded(F.col("sum") / F.col("n"), 1).alias("mean"))))
+    return cells.groupBy("author_id").agg(
+        F.sum("n").alias("total_scored"), rounded(F.sum("sum") / F.sum("n"), 1).alias("average_score"), rounded(100 * F.sum("low") / F.sum("n"), 1).alias("low_percent"), pairs.alias("domains")
+    )
+
+
+def personal_summary(events: DataFrame, key: str, k: int = 10) -> DataFrame:
+    """The k hosts (key) with the lowest mean: (key, average_score, count); ties by name."""
+    return events.groupBy(key).agg(rounded(F.avg("score"), 1).alias("average_score"), F.count("*").alias("count")).orderBy("average_score", key).limit(k)
+
+
+def repo_leaderboard(events: DataFrame, org: str = "", newest: int = 5000, k: int = 50) -> DataFrame:
+    """(repo, score, reviewer_impact, pr_count) of the newest changes (url, score, signals), by owner/repo of the url; impact 0.5 where no signal tells it."""
+    impact = F.coalesce(F.get(F.filter("signals", lambda s: s["name"] == "reviewer_impact_proxy"), F.lit(0))["score"], F.lit(0.5))
+    rows = latest(events, newest).withColumns({"repo": owner_repo(F.col("url")), "impact": impact}).filter((F.col("repo") != "") & F.col("repo").startswith(f"{org}/" if org else ""))
+    out = rows.groupBy("repo").agg(rounded(F.avg("score"), 1).alias("score"), rounded(F.avg("impact"), 2).alias("reviewer_impact"), F.count("*").alias("pr_count"))
+    return out.orderBy(F.desc("score"), "repo").limit(k)
+
+
+def owner_repo(url: Column) -> Column:
+    """owner/repo of a code host's url, or an empty string."""
+    return F.regexp_extract(url, r"github\.com/([^/]+/[^/]+)", 1)
+
+
+def ingestion_stats(events: DataFrame, below: float) -> DataFrame:
+    """One row: total, slop_count, slop_rate, items_per_minute between the first and the last event, and counts by domain and source as maps in key order."""
+    counts = lambda c: events.groupBy(c).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(c, "n")))).alias(f"{c}_counts"))
+    span = (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 60e6
+    total = events.agg(F.count("*").alias("total"), F.count_if(F.col("score") < below).alias("slop_count"), F.greatest(span, F.lit(0.01)).alias("minutes"))
+    out = total.join(F.broadcast(counts("domain"))).join(F.broadcast(counts("repo_id")))  # one row each
+    return out.select("total", "slop_count", rounded(F.col("slop_count") / F.greatest("total", F.lit(1)), 3).alias("slop_rate"), rounded(F.col("total") / F.col("minutes"), 1).alias("items_per_minute"), "domain_counts", "repo_id_counts")
+
+
+def ticker_snapshot(events: DataFrame, seconds: int = 60) -> DataFrame:
+    """One row for the last `seconds` up to the newest event: total, slop_rate, top_domain (most events), hottest_repo and its count and mean, previous_mean.
+
+    Slop is under the mean of all events of the domain. Ties by name. Empty without events: the ticker is warming up.
+    """
+    now = events.agg(F.max("ts").alias("now"))
+    base = events.groupBy("domain").agg(F.avg("score").alias("usual"))
+    age = (F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
+    rows = events.join(F.broadcast(now)).withColumn("age", age).filter(F.col("age") <= 2 * seconds).join(F.broadcast(base), "domain")  # one row; one a domain
+    recent = F.col("age") <= seconds
+    repos = rows.filter(recent).groupBy("repo_id").agg(F.count("*").alias("n"), F.avg("score").alias("mean"))
+    domains = rows.filter(recent).groupBy("domain").agg(F.count("*").alias("n"))
+    hot = repos.agg(F.min(F.struct((-F.col("n")).alias("o"), "repo_id", "mean")).alias("h"))
+    top = domains.agg(F.min(F.struct((-F.col("n")).alias("o"), "domain")).alias("d"))
+    out = rows.agg(
+        F.count_if(recent).alias("total"), F.count_if(recent & (F.col("score") < F.col("usual") - 1e-9)).alias("slop"),
+        F.avg(F.when(recent, F.col("score"))).alias("mean"), F.avg(F.when(~recent, F.col("score"))).alias("before"),
+    )
+    out = out.join(F.broadcast(hot)).join(F.broadcast(top))
+    return out.select(
+        "total", rounded(F.col("slop") / F.greatest("total", F.lit(1)), 2).alias("slop_rate"), F.col("d.domain").alias("top_domain"), F.col("h.repo_id").alias("hottest_repo"),
+        (-F.col("h.o")).alias("hottest_count"), rounded(F.col("h.mean"), 1).alias("hottest_avg"), rounded(F.col("mean"), 1).alias("avg_score"), rounded(F.col("before"), 1).alias("previous_avg"),
+    )
+
+
+def history_summary(history: DataFrame) -> DataFrame:
+    """(total_minutes, current_avg_score): the mean of the means of minute_history()."""
+    return history.agg(F.count("*").alias("total_minutes"), rounded(F.avg("avg_score"), 1).alias("current_avg_score"))
+
+
+def tally(votes: DataFrame, least: int = 5) -> DataFrame:
+    """(appeal_id, upvotes, downvotes, status) of votes (appeal_id, vote): settled from `least` votes on, verified if most say up."""
+    out = votes.groupBy("appeal_id").agg(F.count_if(F.col("vote") == "up").alias("upvotes"), F.count_if(F.col("vote") != "up").alias("downvotes"))
+    settled = F.when(F.col("upvotes") > F.col("downvotes"), "community_verified").otherwise("community_disputed")
+    return out.withColumn("status", F.when(F.col("upvotes") + F.col("downvotes") >= least, settled).otherwise("pending"))
+
+
+def label_counts(rows: DataFrame, group: str, label: str, labels: list) -> DataFrame:
+    """One row a group with the count of each label as a column."""
+    return rows.groupBy(group).agg(*(F.count_if(F.col(label) == v).alias(f"n_{v}") for v in labels))
+
+
+def calibration(scores: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(name, checks, failed, passed) of cases: scores (name, measure, value) against bounds (name, measure, low, high; either may be null).
+
+    A measure that a case lacks counts as -1.
+    """
+    df = bounds.join(scores, ["name", "measure"], "left").withColumn("value", F.coalesce("value", F.lit(-1.0)))
+    ok = F.coalesce(F.col("value") >= F.col("low"), F.lit(True)) & F.coalesce(F.col("value") <= F.col("high"), F.lit(True))
+    return df.groupBy("name").agg(F.count("*").alias("checks"), F.count_if(~ok).alias("failed"), F.every(ok).alias("passed"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,17 +11,28 @@ def dedup_prefix(docs: DataFrame, chars: int = 80) -> DataFrame:
     return docs.groupBy(F.left(F.coalesce("text", F.lit("")), F.lit(chars)).alias("prefix")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-def cap_per_group(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(order)
-    return rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
+def cap_per_group(rows: DataFrame, group: str, order: str, k: int, parts: int = 64) -> DataFrame:
+    """The first k rows of each group. Each of `parts` parts of a group keeps its k before they meet, so a large group is never in one task."""
+    part = Window.partitionBy(group, F.pmod(F.xxhash64(order), F.lit(parts))).orderBy(order)
+    few = rows.withColumn("rn", F.row_number().over(part)).filter(F.col("rn") <= k)
+    return few.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(order))).filter(F.col("rn") <= k).drop("rn")
 
 
 def balance(rows: DataFrame) -> DataFrame:
-    """Per domain, at most max(3 x rows of quality 0, 10) rows of quality 1, by doc_id."""
-    slop = F.count_if(F.col("quality") == 0).over(Window.partitionBy("domain"))
-    rank = F.row_number().over(Window.partitionBy("domain", "quality").orderBy("doc_id"))
-    df = rows.withColumns({"slop": slop, "rank": rank})
-    return df.filter((F.col("quality") == 0) | (F.col("rank") <= F.greatest(3 * F.col("slop"), F.lit(10)))).select("doc_id", "domain", "quality")
+    """Per domain, at most max(3 x rows of quality 0, 10) rows of quality 1, by doc_id.
+
+    The doc_id up to which rows stay comes from counts of doc_id ranges, so only the range with the last ones is ranked.
+    """
+    counts = rows.groupBy("domain").agg(F.count_if(F.col("quality") == 0).alias("slop"))
+    most = F.greatest(3 * F.col("slop"), F.lit(10))
+    good = rows.filter(F.col("quality") == 1)
+    cut = F.floor(F.col("doc_id") / 4096)
+    parts = good.groupBy("domain", cut.alias("range")).agg(F.count("*").alias("n"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("domain").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = parts.join(counts, "domain").filter(F.col("before") < most).select("domain", "range", "before", most.alias("most"))
+    ranked = good.withColumn("range", cut).join(parts, ["domain", "range"]).withColumn("rank", F.row_number().over(Window.partitionBy("domain", "range").orderBy("doc_id")))
+    kept = ranked.filter(F.col("before") + F.col("rank") <= F.col("most")).select("doc_id", "domain", "quality")
+    return rows.filter(F.col("quality") == 0).select("doc_id", "domain", "quality").unionByName(kept)
 
 
 def phrase_counts(docs: DataFrame, n: int, least: int, longest: int = 60) -> DataFrame:
@@ -73,3 +84,110 @@ def without_passages(rows: DataFrame, known: DataFrame, words: int = 10) -> Data
     docs = rows.select("doc_id", tokens(F.col("text")).alias("_t"))
     held = docs.join(sizes).select("doc_id", "n", runs(F.col("n")).alias("run")).join(seen, ["n", "run"], "left_semi").select("doc_id").distinct()
     return rows.join(held, "doc_id", "left_anti")
+
+
+# Fixed values of the weak labels: results depend on exactly these patterns, which match without case.
+SPECIFIC = [
+    r"\b\d+(?:\.\d+)?\s*(?:ms|s|%|mb|gb|kb|rps|px|ns)\b", r"\b(?:CVE|PR|GH|RFC)-\d+", r"\b\w+\.\w{2,4}\b", r"(?:fixes?|closes?|resolves?)\s*#\d+",
+    r"\bbecause\b|\bdue to\b|\bsince\b", r"\btradeoff\b|\balternative\b|\bconsidered\b", r"\b(?:p95|p99|p50)\b", r"\b\d{4,}\b", r"doi:\s*10\.\d{4}",
+    r"\b(?:table|figure|equation)\s+\d+\b",
+]
+STOCK = [
+    r"enhances?\s+(?:the\s+)?user\s+experience", r"robust\s+solution", r"various\s+(?:aspects?|issues?|improvements?)", r"comprehensive\s+(?:overview|guide|solution|update)",
+    r"in\s+today'?s\s+(?:digital\s+)?(?:landscape|world)", r"seamless(?:ly)?\s+(?:integrat|experienc)", r"leverag(?:e|ing)\s+(?:existing|the|our)", r"going\s+forward",
+    r"best\s+practices", r"it\s+is\s+(?:important|crucial|essential)\s+to\s+note", r"delve\s+(?:into|deeper)", r"game[- ]changer", r"cutting[- ]edge", r"paradigm\s+shift",
+    r"unlock\s+the\s+(?:power|potential)",
+]
+ANSWER_DOMAINS = {
+    "reddit": "social_news", "wiki": "content", "medicine": "academia", "finance": "content", "open_qa": "content", "closed_qa": "communications", "all": "content",
+}
+GENERATION_DOMAINS = {
+    "news": "content", "reddit": "social_news", "recipes": "content", "abstracts": "academia", "reviews": "marketplace", "wiki": "content", "books": "content", "poetry": "content",
+}
+HUMAN, MACHINE = ["human", "reviewed"], ["ai", "chatgpt", "gpt", "gpt-4", "gpt-3.5", "claude", "llama", "mistral", "cohere", "davinci"]
+
+
+def _shows(text: Column, patterns: list[str]) -> Column:
+    return sum((text.rlike("(?iU)" + p).cast("int") for p in patterns), F.lit(0))
+
+
+def weak_label(text: Column, least: int = 40) -> Column:
+    """reviewed, slop or null: texts with specifics against texts with stock phrases; short ones and mixed ones are uncertain."""
+    from textloom.functions.text import strip
+
+    spec, slop = _shows(text, SPECIFIC), _shows(text, STOCK)
+    return (
+        F.when(F.char_length(strip(text)) < least, None).when(spec >= 3, "reviewed").when(slop >= 2, "slop").when((spec >= 2) & (slop == 0), "reviewed").when((slop >= 1) & (spec == 0), "slop")
+    )
+
+
+def abstract_label(text: Column) -> Column:
+    """As weak_label(); an uncertain abstract is reviewed if it shows anything specific."""
+    return F.coalesce(weak_label(text), F.when(_shows(text, SPECIFIC) >= 1, "reviewed").otherwise("slop"))
+
+
+def answer_samples(answers: DataFrame, most: int = 2000, words: int = 30, chars: int = 1500) -> DataFrame:
+    """(text, label, domain, source, id, pos) of rows (id, subset, human_answers, chatgpt_answers): answers of `words` words and more, cut to `chars`, at most `most` a subset and label by (id, pos)."""
+    out = None
+    for column, label in (("human_answers", "reviewed"), ("chatgpt_answers", "slop")):
+        rows = answers.select("id", "subset", F.posexplode(column).alias("pos", "text")).withColumn("label", F.lit(label))
+        out = rows if out is None else out.unionByName(rows)
+    out = out.filter(F.size(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")) >= words).withColumn("group", F.concat_ws("/", "subset", "label")).withColumn("at", F.struct("id", "pos"))
+    out = cap_per_group(out, "group", "at", most)
+    domain = F.coalesce(F.create_map(*(F.lit(x) for pair in ANSWER_DOMAINS.items() for x in pair))[F.col("subset")], F.lit("content"))
+    return out.select(F.left("text", F.lit(chars)).alias("text"), "label", domain.alias("domain"), F.concat(F.lit("hc3_"), "subset").alias("source"), "id", "pos")
+
+
+def generation_samples(rows: DataFrame, most: int = 3000, words: int = 20, chars: int = 1500) -> DataFrame:
+    """(id, text, label, domain, source) of rows (id, generation, text, label, domain): of equal 80-character prefixes the smallest id, known labels only, the first `most` by id."""
+    from textloom.functions.text import strip
+
+    text = strip(F.coalesce(F.nullif("generation", F.lit("")), "text", F.lit("")))
+    df = rows.select("id", text.alias("text"), F.lower(F.coalesce("label", F.lit(""))).alias("raw"), F.lower(F.coalesce("domain", F.lit(""))).alias("kind"))
+    df = df.filter(F.size(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")) >= words)
+    first = df.groupBy(F.left("text", F.lit(80)).alias("prefix")).agg(F.min("id").alias("id")).select("id")
+    label = F.when(F.col("raw").isin(HUMAN), "reviewed").when(F.col("raw").isin(MACHINE), "slop")
+    df = df.join(first, "id", "left_semi").withColumn("label", label).filter(F.col("label").isNotNull())
+    domain = F.coalesce(F.create_map(*(F.lit(x) for pair in GENERATION_DOMAINS.items() for x in pair))[F.col("kind")], F.lit("content"))
+    return df.orderBy("id").limit(most).select("id", F.left("text", F.lit(chars)).alias("text"), "label", domain.alias("domain"), F.concat(F.lit("raid_"), "kind").alias("source"))
+
+
+def merged(base: DataFrame, more: DataFrame, chars: int = 80) -> DataFrame:
+    """base and those rows of more whose prefix neither base nor a smaller id of more has; both (id, text, ...)."""
+    key = F.left(F.coalesce("text", F.lit("")), F.lit(chars))
+    new = more.withColumn("_k", key).join(base.select(key.alias("_k")).distinct(), "_k", "left_anti")
+    first = new.groupBy("_k").agg(F.min("id").alias("id"))
+    return base.unionByName(new.join(first, ["_k", "id"], "left_semi").drop("_k"))
+
+
+def split_rows(rows: DataFrame, key: str, share: float = 0.15, seed: int = 42) -> DataFrame:
+    """Add split, train or eval, by a hash of the key: about the same share of every group, and the same rows in every run."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(10_000))
+    return rows.withColumn("split", F.when(draw < int(share * 10_000), "eval").otherwise("train"))
+
+
+def shuffled(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """All rows in an order that the seed gives, the same in every run; equal hashes by key."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), key), key)
+
+
+def filled(templates: DataFrame, words: dict[str, list[str]], n: int, seed: int = 42) -> DataFrame:
+    """(id, text): n texts from templates (pos, template), in turn, with each {name} replaced by one of its words, drawn by a hash of seed, id and name."""
+    size = templates.count()  # a handful
+    rows = templates.sparkSession.range(n).withColumn("pos", F.col("id") % size).join(F.broadcast(templates), "pos").withColumn("text", F.col("template"))
+    for name, values in words.items():
+        pick = F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(name)), F.lit(len(values))) + 1).cast("int"))
+        rows = rows.withColumn("text", F.replace("text", F.lit("{" + name + "}"), pick))
+    return rows.select("id", "text")
+
+
+def pattern_queue(docs: DataFrame, least: int = 3, k: int = 50) -> DataFrame:
+    """The k most frequent phrases of filler_phrases(), with the first and the last time they came, their sources, and whether they are ready: docs (doc_id, text, ts, source)."""
+    found = filler_phrases(docs, 1)
+    ready = found.withColumn("ready", F.col("docs") >= least)
+    return ready.orderBy(F.desc("docs"), "phrase").limit(k)
+
+
+def promote(queue: DataFrame, approved: DataFrame) -> DataFrame:
+    """The queue with promoted: whether its phrase is among the approved ones."""
+    return queue.join(approved.select("phrase", F.lit(True).alias("promoted")).distinct(), "phrase", "left").na.fill(False, ["promoted"])

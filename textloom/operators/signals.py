@@ -1,30 +1,88 @@
-"""Signals of a document, from its text alone, and the weighted score."""
+"""Signals of a document, from its text alone. Each is a row expression: a document's sentences and words are arrays of its
+row, counted by sorting them, so nothing is shuffled and a long text costs little more than its sort.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import lexicons as L
-from textloom.functions.text import all_matches, any_match, clamp, paragraphs, present, rounded, sentences, tokens
+from textloom.functions.text import all_matches, any_match, clamp, paragraphs, present, rounded, sentences, settled, spread, tokens
 
 
 def text_features(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, text, sents, toks, sent_toks: computed once and shared by all signals."""
-    df = docs.select(*keys, F.coalesce("text", F.lit("")).alias("text"))
+    """keys, text, sents, toks, sent_toks (and domain, if docs has one): computed once and shared by all signals."""
+    more = [c for c in ("domain", "context", "diff", "comments") if c in docs.columns and c not in keys]
+    df = spread(docs).select(*keys, *more, F.coalesce("text", F.lit("")).alias("text"))
     df = df.withColumns({"sents": sentences(F.col("text")), "toks": tokens(F.col("text"))})
-    return df.withColumn("sent_toks", F.transform("sents", tokens))
+    return settled(df.withColumns({"sent_toks": F.transform("sents", tokens), "_low": F.lower("text")}))
 
 
-def _mean(values: Column) -> Column:
+def mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(values), F.lit(1))
 
 
+def variance(values: Column) -> Column:
+    """Population variance."""
+    m = mean(values)
+    return F.greatest(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x) / F.greatest(F.size(values), F.lit(1)) - m * m, F.lit(0.0))
+
+
 def variation(values: Column) -> Column:
     """Population standard deviation over mean; 0 where the mean is 0."""
-    mean = _mean(values)
-    var = F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x) / F.greatest(F.size(values), F.lit(1)) - mean * mean
-    return F.when(mean > 0, F.sqrt(F.greatest(var, F.lit(0.0))) / mean).otherwise(0.0)
+    m = mean(values)
+    return F.when(m > 0, F.sqrt(variance(values)) / m).otherwise(0.0)
+
+
+def upto(n: Column) -> Column:
+    """1 to n, or nothing."""
+    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+
+# The optimizer moves a column's expression to where it is used if that is one place only, even into a lambda, where it would run for every
+# element. So lambdas below read a second array twice at least, or get its elements by zip_with.
+
+
+def with_runs(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Add the runs of equal values of a sorted array as (end, n): where a run ends, counted from 1, and how long it is."""
+    at = lambda j: F.get(column, j)
+    df = df.withColumn("_ends", F.filter(upto(F.size(column)), lambda j: (j == F.size(column)) | (at(j) != at(j - 1))))
+    runs = F.transform("_ends", lambda e, k: F.struct(e.alias("end"), (e - F.coalesce(F.get("_ends", k - 1), F.lit(0))).alias("n")))
+    return df.withColumn(out, runs).drop("_ends")
+
+
+def with_stats(df: DataFrame) -> DataFrame:
+    """Add stats of toks: words, distinct, hapax, entropy (bits), pairs (different neighbours)."""
+    df = with_runs(df.withColumn("_sorted", F.sort_array("toks")), "_sorted", "_runs")
+    n = F.size("toks")
+    following = F.slice(F.col("toks"), 2, F.greatest(n, F.lit(1)))
+    pairs = F.zip_with(F.slice(F.col("toks"), 1, F.greatest(n - 1, F.lit(0))), following, lambda a, b: F.concat_ws(" ", a, b))
+    bits = F.log2(n) - F.aggregate("_runs", F.lit(0.0), lambda a, r: a + r["n"] * F.log2(r["n"])) / n
+    stats = F.struct(
+        n.alias("words"), F.size("_runs").alias("distinct"), F.size(F.filter("_runs", lambda r: r["n"] == 1)).alias("hapax"),
+        F.when(n > 0, bits).alias("entropy"), F.when(n < 2, 0).otherwise(F.size(F.array_distinct(pairs))).alias("pairs"),
+    )
+    return settled(df.withColumn("stats", stats).drop("_sorted", "_runs"))
+
+
+def with_first_uses(df: DataFrame, words: str, out: str) -> DataFrame:
+    """Add for each sentence how many of its words (an array of arrays) no earlier sentence has; and `<out>_wide`, the share of
+    all different words that three or more sentences have.
+
+    All (word, sentence) are sorted together: the first of a word's run is its first sentence.
+    """
+    df = df.withColumn("_all", F.sort_array(F.flatten(F.transform(words, lambda ws, i: F.transform(ws, lambda w: F.struct(w.alias("w"), i.alias("i")))))))
+    df = with_runs(df, "_all", "_runs")
+    cell = lambda r: F.struct(F.get("_all", r["end"] - 1)["w"].alias("w"), F.get("_all", r["end"] - 1)["i"].alias("i"), r["n"].alias("n"))
+    df = df.withColumn("_cells", F.transform("_runs", cell))
+    other = lambda x, j: F.coalesce(F.get("_cells", j)["w"] != x["w"], F.lit(True))
+    df = df.withColumn("_first", F.filter("_cells", lambda x, k: other(x, k - 1)))
+    df = df.withColumn(f"{out}_wide", F.size(F.filter("_cells", lambda x, k: other(x, k - 1) & ~other(x, k + 2))) / F.greatest(F.size("_first"), F.lit(1)))
+    # one more for each sentence, so that each has a run
+    each = F.flatten(F.transform("_first", lambda x: F.array_repeat(x["i"], x["n"])))
+    df = with_runs(df.withColumn("_at", F.sort_array(F.concat(each, F.transform(words, lambda _, i: i)))), "_at", "_runs")
+    return settled(df.withColumn(out, F.transform("_runs", lambda r: r["n"] - 1)).drop("_all", "_runs", "_cells", "_first", "_at"))
 
 
 def specificity(sents: Column) -> Column:
@@ -82,69 +140,78 @@ def template_structure(df: DataFrame) -> DataFrame:
     return out.drop("_lengths", "_openers", "_first", "_complex", "_paras")
 
 
-def word_rows(features: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, word, n, first, spread): each word of a document, its count, first sentence and number of sentences."""
-    rows = features.select(*keys, F.posexplode("sent_toks").alias("pos", "words")).select(*keys, "pos", F.explode("words").alias("word"))
-    return rows.groupBy(*keys, "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.count_distinct("pos").alias("spread"))
+def curve_words(sentence: Column) -> Column:
+    """The words of a sentence that its novelty counts: of three letters and more, and none of the curve's stop words."""
+    found = F.regexp_extract_all(F.lower(sentence), F.lit(r"(?U)\b[a-z][a-z0-9_-]*\b"), F.lit(0))
+    return F.filter(found, lambda w: (F.char_length(w) > 2) & ~w.isin(L.CURVE_STOP_WORDS))
 
 
-def entropy(features: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, words, distinct, hapax, entropy) over all tokens of a document, by two partial aggregations."""
-    rows = features.select(*keys, F.explode("toks").alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
-    return rows.groupBy(*keys).agg(
-        F.sum("n").alias("words"), F.count("*").alias("distinct"), F.sum((F.col("n") == 1).cast("long")).alias("hapax"),
-        (F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("entropy"),
-    )
+def with_curve(df: DataFrame) -> DataFrame:
+    """Add curve, the share of each sentence's content words that no earlier sentence has, and curve_wide, the share of words in three or more sentences."""
+    df = with_first_uses(df.withColumn("_words", F.transform("sents", curve_words)), "_words", "curve")
+    return df.withColumn("curve", F.zip_with("curve", "_words", lambda n, ws: n / F.greatest(F.size(ws), F.lit(1)))).drop("_words")
+
+
+def slope(values: Column) -> Column:
+    """Of the regression line through the values; 0 for fewer than two."""
+    n = F.size(values)
+    xy = F.aggregate(F.transform(values, lambda v, i: v * i), F.lit(0.0), lambda a, x: a + x)
+    x, xx = n * (n - 1) / 2, (n - 1).cast("double") * n * (2 * n - 1) / 6
+    return F.when(n < 2, 0.0).otherwise((n * xy - x * mean(values) * n) / (n * xx - x * x))
+
+
+def spikes(curve: str) -> Column:
+    """Steps of more than 0.3 to the next value."""
+    return F.size(F.filter(F.transform(curve, lambda v, i: v - F.get(curve, i - 1)), lambda d: d > 0.3))
+
 
+def front_loading() -> Column:
+    """Whether terms are front-loaded: never, as the first quarter ends where the middle begins, and the two may not touch."""
+    return F.lit(False)
 
-def novelty_curve(features: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pos, novelty): share of a sentence's content words that no earlier sentence has.
 
-    A word is new where its first sentence is this one, so no ordered pass is needed.
+def binned_entropy(curve: str, low: str, width: str) -> Column:
+    """Bits of the values in five bins of that width from the lowest value; 0 where they hardly differ."""
+    frame = F.array_repeat(F.struct(F.col(low).alias("low"), F.col(width).alias("width")), F.size(curve))
+    bins = F.zip_with(curve, frame, lambda v, x: F.least(F.floor((v - x["low"]) / x["width"]), F.lit(4)))
+    count = lambda k: F.size(F.filter(bins, lambda x: x == k))
+    counts = F.array(*map(count, range(5)))
+    return F.when(F.col(width) * 5 < 0.01, 0.0).otherwise(F.aggregate(counts, F.lit(0.0), lambda a, c: a - F.when(c > 0, c / F.size(curve) * F.log2(c / F.size(curve))).otherwise(0.0)))
+
+
+def circular_pairs(df: DataFrame) -> DataFrame:
+    """Add circular: how many sentences say again what a long one (15 different words and more) says, at most 4 counted.
+
+    Another sentence does if it has over half of the long one's key words, and under 30 % of its own words are new.
     """
-    content = F.filter("words", lambda w: (F.char_length(w) > 2) & ~w.isin(L.STOP_WORDS))
-    rows = features.select(*keys, F.posexplode("sent_toks").alias("pos", "words")).select(*keys, "pos", content.alias("words"))
-    each = rows.select(*keys, "pos", F.explode_outer("words").alias("word"))
-    first = F.min("pos").over(Window.partitionBy(*keys, "word"))
-    new = each.withColumn("new", (F.col("word").isNotNull() & (first == F.col("pos"))).cast("int"))
-    return new.groupBy(*keys, "pos").agg((F.sum("new") / F.greatest(F.count("word"), F.lit(1))).alias("novelty"))
-
-
-def novelty_shape(curve: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, sentences, variance, slope, spikes): steps of more than 0.3 to the next sentence are spikes."""
-    step = F.col("novelty") - F.lag("novelty").over(Window.partitionBy(*keys).orderBy("pos"))
-    return curve.withColumn("step", step).groupBy(*keys).agg(
-        F.count("*").alias("sentences"), F.var_pop("novelty").alias("variance"), F.coalesce(F.regr_slope("novelty", F.col("pos")), F.lit(0.0)).alias("slope"),
-        F.sum((F.col("step") > 0.3).cast("long")).alias("spikes"),
-    )
+    df = df.withColumn("_sets", F.transform("sent_toks", F.array_distinct))
+    df = df.withColumn("_keys", F.transform("_sets", lambda s: F.filter(s, lambda w: (F.size(s) >= 15) & (F.char_length(w) > 4) & ~w.isin(L.STOP_WORDS))))
+    df = df.withColumn("_long", F.filter(F.transform("_keys", lambda k, i: F.when(F.size(k) > 0, i)), lambda i: i.isNotNull()))
 
+    def again(i: Column) -> Column:
+        key, own, sentence = F.get("_keys", i), F.get("_sets", i), F.get("sents", i)
+        return F.size(F.filter("_sets", lambda s, j: (
+            (2 * F.size(s) > F.size(key)) & (2 * F.size(F.array_intersect(key, s)) > F.size(key)) & (F.size(F.array_except(s, own)) / F.greatest(F.size(s), F.lit(1)) < 0.3)
+            & (F.get("sents", j) != sentence))))
 
-def information_density(features: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, information_density) without the pairwise circularity term, which circular_pairs() counts."""
-    toks = F.col("toks")
-    n = F.size(toks)
-    grams = F.zip_with(F.slice(toks, 1, F.greatest(n - 1, F.lit(0))), F.slice(toks, 2, F.greatest(n, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    grams = F.filter(grams, lambda g: g.isNotNull())
-    low = F.lower("text")
-    row = features.select(
-        *keys, n.alias("n"), F.size("sents").alias("m"),
-        F.size(F.filter(toks, lambda w: w.isin(L.STOP_WORDS))).alias("stops"),
-        F.aggregate(toks, F.lit(0), lambda a, w: a + F.char_length(w)).alias("chars"), F.size(F.array_distinct(grams)).alias("pairs"),
-        present(low, L.FILLER_PHRASES).alias("filler"), all_matches(F.col("text"), L.CONCRETE).alias("concrete"),
-    )
-    words = word_rows(features, keys)
-    fresh = words.groupBy(*keys, F.col("first").alias("pos")).agg(F.count("*").alias("new"))
-    size = features.select(*keys, F.posexplode(F.transform("sent_toks", lambda t: F.size(F.array_distinct(t)))).alias("pos", "size")).filter("size > 0")
-    novelty = size.join(fresh, [*keys, "pos"], "left").groupBy(*keys).agg(F.avg(F.coalesce("new", F.lit(0)) / F.col("size")).alias("novelty"))
-    df = row.join(entropy(features, keys), keys, "left").join(novelty, keys, "left")
+    found = F.aggregate("_long", F.lit(0), lambda a, i: F.when(a >= 4, a).otherwise(a + again(i)))
+    return settled(df.withColumn("circular", F.least(found, F.lit(4))).drop("_sets", "_keys", "_long"))
+
+
+def information_density(df: DataFrame) -> DataFrame:
+    """Add information_density to df (text, _low, sents, toks, sent_toks, stats, circular): few stop words, fresh words and pairs, long words, no filler, nothing said twice."""
+    df = with_first_uses(df.withColumn("_sets", F.transform("sent_toks", F.array_distinct)), "_sets", "_fresh")
+    s, n = F.col("stats"), F.col("stats.words")
+    shares = F.filter(F.zip_with("_fresh", "_sets", lambda f, w: F.when(F.size(w) > 0, f / F.size(w))), lambda x: x.isNotNull())
     raw = (
-        0.15 * (1 - F.col("stops") / F.col("n"))
-        + 0.20 * clamp(F.col("entropy") / F.log2("n"))
-        + 0.15 * F.col("pairs") / (F.col("n") - 1)
-        + 0.15 * F.when(F.col("m") >= 2, F.coalesce("novelty", F.lit(0.5))).otherwise(0.5)
-        + 0.10 * clamp((F.col("chars") / F.col("n") - 3.0) / 4.0)
-        + 0.15 * F.col("distinct") / F.col("n")
-        + F.least(F.col("concrete") * 0.015, F.lit(0.15))
-        - F.least(F.col("filler") * 0.05, F.lit(0.30))
+        0.15 * (1 - F.size(F.filter("toks", lambda w: w.isin(L.STOP_WORDS))) / n)
+        + 0.20 * clamp(s["entropy"] / F.log2(n))
+        + 0.15 * s["pairs"] / (n - 1)
+        + 0.15 * F.when((F.size("sents") >= 2) & (F.size(shares) > 0), mean(shares)).otherwise(0.5)
+        + 0.10 * clamp((F.aggregate("toks", F.lit(0), lambda a, w: a + F.char_length(w)) / n - 3.0) / 4.0)
+        + 0.15 * s["distinct"] / n
+        + F.least(all_matches(F.col("text"), L.CONCRETE) * 0.015, F.lit(0.15))
+        - F.least(present(F.col("_low"), L.FILLER_PHRASES) * 0.05, F.lit(0.30))
+        - F.least(F.col("circular") * 0.10, F.lit(0.40))
     )
-    return df.select(*keys, F.when(F.col("n") < 3, 0.5).otherwise(rounded(clamp(raw + 0.05), 4)).alias("information_density"))
+    return df.withColumn("information_density", F.when(n < 3, 0.5).otherwise(rounded(clamp(raw + 0.05), 4))).drop("_sets", "_fresh", "_fresh_wide")

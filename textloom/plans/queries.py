@@ -37,6 +37,8 @@ EVENTS = "(SELECT event_id, ts, event_type AS domain, 'repo' || CAST(user_id % 2
 DOC_DOMAIN = f"{_list(L.DOMAINS)}[doc_id % {len(L.DOMAINS)} + 1]"
 CORPUS = f"(SELECT doc_id, concat_ws(' ', text, {_list(L.SAMPLES)}[doc_id % {len(L.SAMPLES)} + 1]) AS text, {DOC_DOMAIN} AS domain, source AS repo_id, lang AS author_id FROM documents)"
 SENTS = r"list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
+# word boundaries of this SQL know ASCII only
+LATIN = r"regexp_replace(text, '[^\P{L}\x00-\x7F]', 'x', 'g')"
 TOKS = "regexp_extract_all(lower({}), '[a-z][a-z0-9_''-]*')"
 
 
@@ -66,8 +68,8 @@ def sentence_stats(spark, sf):
 @query(f"SELECT doc_id, CAST(sum(n) AS BIGINT) AS words, count(*) AS distinct_words, {r4('log2(sum(n)) - sum(n * log2(n)) / sum(n)')} AS entropy, {r4('count(*) FILTER (WHERE n = 1) / sum(n)')} AS hapax_ratio "
        f"FROM (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({TOKS.format('text')}) AS word FROM {CORPUS}) GROUP BY ALL) GROUP BY doc_id")
 def word_entropy(spark, sf):
-    e = S.entropy(S.text_features(corpus(spark, sf), ["doc_id"]), ["doc_id"])
-    return e.select("doc_id", "words", F.col("distinct").alias("distinct_words"), T.rounded(F.col("entropy"), 4).alias("entropy"), T.rounded(F.col("hapax") / F.col("words"), 4).alias("hapax_ratio"))
+    e = S.with_stats(S.text_features(corpus(spark, sf), ["doc_id"])).select("doc_id", "stats.*").filter("words > 0")
+    return e.select("doc_id", F.col("words").cast("long").alias("words"), F.col("distinct").cast("long").alias("distinct_words"), T.rounded(F.col("entropy"), 4).alias("entropy"), T.rounded(F.col("hapax") / F.col("words"), 4).alias("hapax_ratio"))
 
 
 @query("SELECT page_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 3000) AS text FROM pages")
@@ -111,17 +113,51 @@ def sig_evidence_density(spark, sf):
     return S.text_features(corpus(spark, sf), ["doc_id"]).select("doc_id", S.evidence_density(F.col("sents")).alias("evidence_density"))
 
 
-@query()
+_OPENERS = f"list_transform(list_filter(list_transform(s, lambda x: {TOKS.format('x')}), lambda w: len(w) > 0), lambda w: CASE WHEN len(w) >= 3 THEN array_to_string(w[1:3], ' ') ELSE w[1] END)"
+_FIRSTS = f"list_transform(list_filter(list_transform(s, lambda x: {TOKS.format('x')}), lambda w: len(w) > 0), lambda w: w[1])"
+_CV = lambda v: f"coalesce(list_var_pop({v}) ** 0.5 / nullif(list_avg({v}), 0), 0)"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, text, lower(text) AS low, {SENTS} AS s FROM {CORPUS}),
+f AS (SELECT *, list_transform(s, lambda x: CAST(len({TOKS.format('x')}) AS DOUBLE)) AS lengths, {_OPENERS} AS openers, {_FIRSTS} AS firsts,
+  list_transform(s, lambda x: (length(x) - length(replace(x, ',', ''))) + 2.0e0 * (length(x) - length(replace(x, ';', ''))) + 1.5e0 * (length(x) - length(replace(x, '(', '')))) AS complexity,
+  list_transform(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: trim(p)), lambda p: p <> ''), lambda p: CAST(length(p) AS DOUBLE)) AS paras,
+  len(regexp_extract_all(text, '(?m)^\s*[-*•]\s')) + len(regexp_extract_all(text, '(?m)^\s*\d+[.)]\s')) AS lists, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines,
+  len(regexp_extract_all({LATIN}, '(?i)\b(I|me|my|we|us|our|you|your)\b')) AS personal, len(regexp_extract_all({LATIN}, '(?i)\b(it is|there is|there are|one should|one can|this is)\b')) AS distant,
+  {" + ".join(f"CAST(contains(lower(text), '{p}') AS INTEGER)" for p in L.TRANSITIONS)} AS transitions FROM t),
+g AS (SELECT *, coalesce(list_max(list_transform(list_distinct(firsts), lambda w: len(list_filter(firsts, lambda v: v = w)))), 0) AS top FROM f)
+SELECT doc_id, CASE WHEN len(s) < 3 THEN 0.5 ELSE {r4(f"""greatest(0e0, least(1e0, 0.20e0 * greatest(0, least(1, ({_CV('lengths')} - 0.1) / 0.6))
+  + 0.10e0 * CASE WHEN len(paras) >= 3 THEN greatest(0, least(1, ({_CV('paras')} - 0.05) / 0.5)) ELSE 0.5 END + 0.15e0 * greatest(0, least(1, {_CV('complexity')} / 1.5))
+  + 0.10e0 * least(1, coalesce(personal / nullif(personal + distant, 0), 0.5) * 1.2) - least((len(openers) - len(list_distinct(openers))) * 0.08, 0.40)
+  - greatest(0, least(1, (top / greatest(len(s), 1) - 0.3) / 0.4)) * 0.15 - greatest(0, least(1, (lists / n_lines - 0.3) / 0.5)) * 0.15 - least(transitions * 0.06, 0.30) + 0.35e0))""")} END AS template_structure FROM g""")
 def sig_template_structure(spark, sf):
     return S.template_structure(S.text_features(corpus(spark, sf), ["doc_id"])).select("doc_id", "template_structure")
 
 
-@query()
+_STATS = f"""t AS (SELECT doc_id, text, {SENTS} AS s, {TOKS.format('text')} AS toks FROM {CORPUS}),
+c AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(toks) AS word FROM t) GROUP BY ALL),
+e AS (SELECT doc_id, sum(n) AS words, count(*) AS dist, count(*) FILTER (WHERE n = 1) AS hapax, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy FROM c GROUP BY doc_id),
+p AS (SELECT doc_id, count(DISTINCT toks[i] || ' ' || toks[i + 1]) AS pairs FROM (SELECT doc_id, toks, unnest(range(1, len(toks))) AS i FROM t) GROUP BY doc_id)"""
+
+
+@query(rf"""WITH {_STATS}, u AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS pos FROM t),
+w AS (SELECT doc_id, pos, x, list_distinct({TOKS.format('x')}) AS ws FROM u),
+k AS (SELECT doc_id, pos, x, ws, list_filter(ws, lambda v: length(v) > 4 AND NOT list_contains({_list(L.STOP_WORDS)}, v)) AS keys FROM w WHERE len(ws) >= 15),
+z AS (SELECT k.doc_id, count(*) AS circular FROM k JOIN w o ON o.doc_id = k.doc_id AND o.x <> k.x WHERE len(k.keys) > 0 AND len(list_intersect(k.keys, o.ws)) / len(k.keys) > 0.5
+  AND (len(o.ws) - len(list_intersect(o.ws, k.ws))) / greatest(len(o.ws), 1) < 0.3 GROUP BY k.doc_id),
+x AS (SELECT doc_id, pos, unnest(ws) AS word FROM w), y AS (SELECT doc_id, word, min(pos) AS first FROM x GROUP BY ALL),
+v AS (SELECT doc_id, avg(share) AS novelty FROM (SELECT x.doc_id, x.pos, count(*) FILTER (WHERE first = pos) / count(*) AS share FROM x JOIN y USING (doc_id, word) GROUP BY ALL) GROUP BY doc_id)
+SELECT t.doc_id, CASE WHEN coalesce(words, 0) < 3 THEN 0.5 ELSE {r4(f"""greatest(0e0, least(1e0, 0.15e0 * (1 - len(list_filter(toks, lambda q: list_contains({_list(L.STOP_WORDS)}, q))) / words) + 0.20e0 * least(1, entropy / log2(words)) + 0.15e0 * pairs / (words - 1)
+  + 0.15e0 * CASE WHEN len(s) >= 2 THEN coalesce(novelty, 0.5) ELSE 0.5 END + 0.10e0 * greatest(0, least(1, (list_sum(list_transform(toks, lambda q: length(q))) / words - 3.0) / 4.0)) + 0.15e0 * dist / words
+  + least(({" + ".join(f"len(regexp_extract_all(text, '{q}'))" for q in L.CONCRETE)}) * 0.015e0, 0.15) - least(({" + ".join(f"CAST(contains(lower(text), '{q.replace(chr(39), chr(39) * 2)}') AS INTEGER)" for q in L.FILLER_PHRASES)}) * 0.05e0, 0.30)
+  - least(coalesce(circular, 0) * 0.10e0, 0.40) + 0.05e0))""")} END AS information_density FROM t LEFT JOIN e USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN v USING (doc_id) LEFT JOIN z USING (doc_id)""")
 def sig_information_density(spark, sf):
-    return S.information_density(S.text_features(corpus(spark, sf), ["doc_id"]), ["doc_id"])
+    f = S.circular_pairs(S.with_stats(S.text_features(corpus(spark, sf), ["doc_id"])))
+    return S.information_density(f).select("doc_id", "information_density")
 
 
-_CURVE = f"""w AS (SELECT doc_id, pos, list_filter({TOKS.format("x")}, lambda w: length(w) > 2 AND NOT list_contains({_list(L.STOP_WORDS)}, w)) AS ws
+#: Letters beyond ASCII become a capital, which no class of the curve's words has: word boundaries of this SQL know ASCII only.
+_CURVE = rf"""w AS (SELECT doc_id, pos, list_filter(regexp_extract_all(regexp_replace(lower(x), '[^\P{{L}}\x00-\x7F]', 'X', 'g'), '\b[a-z][a-z0-9_-]*\b'), lambda w: length(w) > 2 AND NOT list_contains({_list(L.CURVE_STOP_WORDS)}, w)) AS ws
   FROM (SELECT doc_id, unnest({SENTS}) AS x, generate_subscripts({SENTS}, 1) - 1 AS pos FROM {CORPUS})),
 e AS (SELECT doc_id, pos, unnest(ws) AS word FROM w), f AS (SELECT doc_id, word, min(pos) AS first FROM e GROUP BY ALL),
 n AS (SELECT e.doc_id, e.pos, count(*) FILTER (WHERE first = e.pos) / count(*) AS novelty FROM e JOIN f ON f.doc_id = e.doc_id AND f.word = e.word GROUP BY ALL),
@@ -130,16 +166,15 @@ c AS (SELECT w.doc_id, w.pos, coalesce(novelty, 0.0) AS novelty FROM w LEFT JOIN
 
 @query(f"WITH {_CURVE} SELECT doc_id, CAST(pos AS BIGINT) AS pos, {r4('novelty')} AS novelty FROM c")
 def novelty_curve(spark, sf):
-    c = S.novelty_curve(S.text_features(corpus(spark, sf), ["doc_id"]), ["doc_id"])
+    c = S.with_curve(S.text_features(corpus(spark, sf), ["doc_id"])).select("doc_id", F.posexplode("curve").alias("pos", "novelty"))
     return c.select("doc_id", F.col("pos").cast("long").alias("pos"), T.rounded(F.col("novelty"), 4).alias("novelty"))
 
 
-@query(f"""WITH {_CURVE} SELECT doc_id, count(*) AS sentences, {r4('var_pop(novelty)')} AS variance, CAST(count(*) FILTER (WHERE step > 0.3) AS BIGINT) AS spikes
+@query(f"""WITH {_CURVE} SELECT doc_id, count(*) AS sentences, {r4('var_pop(novelty)')} AS variance, CAST(count(*) FILTER (WHERE step > 0.3) AS BIGINT) AS spikes, false AS front_loading
 FROM (SELECT *, novelty - lag(novelty) OVER (PARTITION BY doc_id ORDER BY pos) AS step FROM c) GROUP BY doc_id""")
 def novelty_shape(spark, sf):
-    f = S.text_features(corpus(spark, sf), ["doc_id"])
-    s = S.novelty_shape(S.novelty_curve(f, ["doc_id"]), ["doc_id"])
-    return s.select("doc_id", "sentences", T.rounded(F.col("variance"), 4).alias("variance"), F.coalesce("spikes", F.lit(0)).alias("spikes"))
+    s = S.with_curve(S.text_features(corpus(spark, sf), ["doc_id"])).filter(F.size("curve") > 0)
+    return s.select("doc_id", F.size("curve").cast("long").alias("sentences"), T.rounded(S.variance(F.col("curve")), 4).alias("variance"), S.spikes("curve").cast("long").alias("spikes"), S.front_loading().alias("front_loading"))
 
 
 @query()
