@@ -17,6 +17,7 @@ join on (length, rank), so each document row is shuffled once, by the range sort
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections import defaultdict
@@ -26,19 +27,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import read_table, written
+from textloom.llm.common import read_table, text_bytes, written
 
-#: Encodings of words that a task remembers; beyond, it forgets them all and goes on.
-REMEMBERED = 600_000
-#: Words that a task codes together.
-CHUNK_WORDS = 200_000
+#: Encodings of words that a Python worker remembers from one task to the next: that many of words met once lately, as many of
+#: those before them, and twice as many of words met again.
+REMEMBERED = 200_000
+#: Words that a task codes together; a table of their own for each such lot stays in the processor's cache.
+CHUNK_WORDS = 100_000
 
 
-def _word_chunks(texts: list[str | None]):
-    """(rows, words of each row) in chunks of about CHUNK_WORDS words, whole texts each."""
+def _word_chunks(texts: pa.Array):
+    """(rows, words of each row) in chunks of about CHUNK_WORDS words, whole texts each; a null text has none."""
     rows, parts, held = [], [], 0
-    for i, text in enumerate(texts):
-        words = (text or "").encode().split()
+    ends, data = text_bytes(texts)
+    ends, data = ends.tolist(), memoryview(data)
+    for i, there in enumerate(texts.is_valid().to_pylist()):
+        words = data[ends[i] : ends[i + 1]].tobytes().split() if there else []
         rows.append(i)
         parts.append(words)
         held += len(words)
@@ -49,55 +53,112 @@ def _word_chunks(texts: list[str | None]):
         yield rows, parts
 
 
-def _code_words(coder, words: list[bytes], join: int = 200):
-    """(word, ids as bytes) of each word. Many go through the tokenizer as one text, kept apart by a special token.
+class WordCoder:
+    """The ids of words as little-endian bytes; the tokenizer parts words at blanks, so a text is its words' ids in turn.
 
-    Words that hold a special token's string, or all if the tokenizer has none, are coded one by one.
+    Words go through the tokenizer many at a time, kept apart by a control character that it turns into one id of its own.
+    Words of ASCII letters do without it if the model marks the ends of words and a lot has as many ends as words. Words
+    with the control character or with the string of a special token, or all if there is no such id, go alone. Most words
+    are rare, so what is remembered of a word depends on whether it was met again.
     """
-    added = [t.content for t in coder.get_added_tokens_decoder().values() if t.special]
-    mark = coder.token_to_id(added[-1]) if added else None
-    texts = [w.decode() for w in words]
-    odd = [i for i, t in enumerate(texts) if mark is None or any(a in t for a in added)]
-    plain = sorted(set(range(len(texts))).difference(odd)) if odd else range(len(texts))
-    groups = [plain[i : i + join] for i in range(0, len(plain), join)]
-    glue = f" {added[-1]} " if added else ""
-    for group, coded in zip(groups, coder.encode_batch_fast([glue.join([texts[i] for i in g]) for g in groups], add_special_tokens=False)):
-        ids = np.array(coded.ids, "<u4")
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
+        from tokenizers import Tokenizer
+
+        self.coder = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.coder.get_added_tokens_decoder().values()] + [b"\x01"]
+        self.often, self.young, self.old = {}, {}, {}
+        one = lambda text: self.coder.encode(text, add_special_tokens=False).ids
+        self.mark, ids = "\x01", one("\x01")
+        self.mark_id = ids[0] if len(ids) == 1 and one("a \x01 b") == [*one("a"), *ids, *one("b")] else None
+        suffix = getattr(self.coder.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.coder.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for token, i in self.coder.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """A table of these words."""
+        table = dict(zip(words, map(self.often.get, words)))
+        lacking = [w for w, ids in table.items() if ids is None]
+        again = {}
+        for recent in (self.young, self.old):
+            found = list(map(recent.get, lacking))
+            again.update((w, recent.pop(w)) for w, ids in zip(lacking, found) if ids is not None)
+            lacking = [w for w, ids in zip(lacking, found) if ids is None]
+        new = dict(self._code(lacking))
+        self.often.update(again)
+        self.young.update(new)
+        table.update(again)
+        table.update(new)
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        if len(self.often) > 2 * REMEMBERED:
+            self.often = {}
+        return table
+
+    def _code(self, words: list[bytes], join: int = 30):
+        plain = [w for w in words if w.isalpha() and len(w) < 64] if self.ends.any() else []
+        groups = [plain[i : i + join] for i in range(0, len(plain), join)]
+        left = [w for w in words if not (w.isalpha() and len(w) < 64)] if plain else words
+        for group, coded in zip(groups, self.coder.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(coded.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                yield from self._cut(group, ids, ends, 0)
+            else:
+                left += group
+        odd = [w for w in left if self.mark_id is None or any(x in w for x in self.special)]
+        left = [w for w in left if w not in set(odd)] if odd else left
+        groups = [left[i : i + join] for i in range(0, len(left), join)]
+        glue = f" {self.mark} ".encode()
+        for group, coded in zip(groups, self.coder.encode_batch_fast([glue.join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(coded.ids, "<u4")
+            yield from self._cut(group, ids, [*np.flatnonzero(ids == self.mark_id), len(ids)], 1)
+        for w, coded in zip(odd, self.coder.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)):
+            yield w, np.array(coded.ids, "<u4").tobytes()
+
+    @staticmethod
+    def _cut(words: list[bytes], ids: np.ndarray, ends, gap: int):
+        """The ids up to each end are a word's; gap ids lie between two words."""
         flat, start = ids.tobytes(), 0
-        for i, end in zip(group, [*(np.flatnonzero(ids == mark) * 4).tolist(), len(flat)]):
-            yield words[i], flat[start:end]
-            start = end + 4
-    for i, coded in zip(odd, coder.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
-        yield words[i], np.array(coded.ids, "<u4").tobytes()
+        for w, end in zip(words, ends):
+            yield w, flat[4 * start : 4 * end]
+            start = end + gap
+
+
+_CODERS: dict[str, WordCoder] = {}
+
+
+def word_coder(path: str) -> WordCoder:
+    """The coder of this Python worker, which outlives a task."""
+    if path not in _CODERS:
+        _CODERS[path] = WordCoder(path)
+    return _CODERS[path]
 
 
 def _pieces(tokenizer: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
-        from tokenizers import Tokenizer
-
-        coder = Tokenizer.from_file(tokenizer)
+        coder = word_coder(tokenizer)
         end, size = np.array([end_id], "<u4").tobytes(), 4 * capacity
-        # the ids of a word as bytes; the tokenizer parts words at blanks, so a text is its words' ids in turn
-        known: dict[bytes, bytes] = {}
-        for batch in batches:
-            ids, out = batch.column(0), []
-            for numbers, parts in _word_chunks(batch.column(1).to_pylist()):
-                used = set().union(*parts)
-                if len(known) > REMEMBERED:
-                    known.clear()
-                new = list(used.difference(known))
-                known.update(_code_words(coder, new))
-                for i, words in zip(numbers, parts):
-                    code = b"".join(map(known.__getitem__, words)) + end
-                    for n in range(-(-len(code) // size)):
-                        cut = code[n * size : (n + 1) * size]
-                        out.append((i, n, n * capacity, len(cut) // 4, zlib.crc32(cut), cut if with_ids else None))
-            rows, piece, start, length, crc, cuts = zip(*out) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())] + ([pa.array(cuts, pa.binary())] if with_ids else []),
-                names=["doc_id", "piece", "start", "length", "ids_crc32"] + (["ids"] if with_ids else []),
-            )
+        gc.disable()  # nothing here refers to itself, and a collection would walk through all remembered words
+        try:
+            for batch in batches:
+                ids, out = batch.column(0), []
+                for numbers, parts in _word_chunks(batch.column(1)):
+                    known = coder.learn(set().union(*parts))
+                    for i, words in zip(numbers, parts):
+                        code = b"".join(map(known.__getitem__, words)) + end
+                        for n in range(-(-len(code) // size)):
+                            cut = code[n * size : (n + 1) * size]
+                            out.append((i, n, n * capacity, len(cut) // 4, zlib.crc32(cut), cut if with_ids else None))
+                rows, piece, start, length, crc, cuts = zip(*out) if out else [[]] * 6
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())] + ([pa.array(cuts, pa.binary())] if with_ids else []),
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"] + (["ids"] if with_ids else []),
+                )
+        finally:
+            gc.enable()
 
     return run
 
@@ -106,7 +167,8 @@ def tokenize(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: i
     """One row per piece of at most `capacity` tokens: doc_id, piece, start, length, ids_crc32 (and ids, little-endian).
 
     A document is its ids and one end_id; a null or empty text is the end_id alone. tokenizer: a file that
-    every executor has, of a `tokenizers` model that parts words at ASCII blanks.
+    every executor has, of a `tokenizers` model that parts words at ASCII blanks. Repeated rows and rows without a doc_id
+    have pieces of their own; texts of any length are coded whole; other columns are left out.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
@@ -173,14 +235,14 @@ def pack(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
     """Add sequence_id and offset (long) to pieces, whose `length` is from 1 to capacity.
 
     Sequences are full from 0 without a gap between their pieces. Equal lengths go by (doc_id, piece); repeated rows are packed
-    as often as they come.
+    as often as they come, rows with a null doc_id before others. Other columns stay, but for two of those names; without pieces the result is empty.
     """
     n = max(2, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # written first: the range sort reads its input twice, once for the bounds
     ordered = written(pieces, "pieces").repartitionByRange(n, "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
-    ordered = written(ordered.withColumn("part", F.spark_partition_id()), "ordered")
+    ordered = written(ordered.withColumn("__part", F.spark_partition_id()), "ordered")
     # a range holds few lengths, so this has at most n + capacity rows
-    runs = sorted((r["length"], r["part"], r["count"]) for r in ordered.groupBy("length", "part").count().collect())
+    runs = sorted((r["length"], r["__part"], r["count"]) for r in ordered.groupBy("length", "__part").count().collect())
     counts: dict[int, int] = defaultdict(int)
     before = []
     for length, part, count in runs:
@@ -188,23 +250,23 @@ def pack(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
         counts[length] += count
     plan = best_fit_rounds(counts, capacity)
     spark = pieces.sparkSession
-    before = spark.createDataFrame(before, "length long, part int, before long")
-    local = Window.partitionBy("part", "length").orderBy("doc_id", "piece")
-    ranked = ordered.withColumn("local", F.row_number().over(local) - 1).join(F.broadcast(before), ["length", "part"])
-    ranked = ranked.withColumn("rank", F.col("local") + F.col("before"))
+    before = spark.createDataFrame(before, "length long, __part int, __before long")
+    local = Window.partitionBy("__part", "length").orderBy("doc_id", "piece")
+    ranked = ordered.withColumn("__local", F.row_number().over(local) - 1).join(F.broadcast(before), ["length", "__part"])
+    ranked = ranked.withColumn("__rank", F.col("__local") + F.col("__before"))
     steps: dict[int, list] = defaultdict(list)
     for length, rank, _, sequence, offset in plan:
         steps[length].append((rank, sequence, offset))
     # the runs of a length in one array, found by its rank
-    table = spark.createDataFrame([(k, sorted(v)) for k, v in steps.items()], "length long, runs array<struct<rank:long,sequence:long,offset:long>>")
-    run = F.aggregate("runs", F.col("runs")[0], lambda a, x: F.when(x["rank"] <= F.col("rank"), x).otherwise(a))
-    placed = ranked.join(F.broadcast(table), "length").withColumn("run", run)
-    return placed.select(
-        *pieces.columns, (F.col("run.sequence") + F.col("rank") - F.col("run.rank")).alias("sequence_id"), F.col("run.offset").alias("offset")
-    )
+    table = spark.createDataFrame([(k, sorted(v)) for k, v in steps.items()], "length long, __runs array<struct<rank:long,sequence:long,offset:long>>")
+    run = F.aggregate("__runs", F.col("__runs")[0], lambda a, x: F.when(x["rank"] <= F.col("__rank"), x).otherwise(a))
+    placed = ranked.join(F.broadcast(table), "length").withColumn("__run", run)
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    return placed.select(*own, (F.col("__run.sequence") + F.col("__rank") - F.col("__run.rank")).alias("sequence_id"), F.col("__run.offset").alias("offset"))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all documents and their places; see tokenize() and pack() for odd rows."""
     import public_tokenizers
 
     docs = read_table(spark, sf_dir, "documents")
