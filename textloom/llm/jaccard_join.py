@@ -4,10 +4,11 @@ A document's set holds the hashes of its distinct n-word shingles. Sets go into
 size is close enough to the next band also go there, so two similar sets always share a band, in which
 they differ in at most k elements. The hash domain is cut into n1 parts of n2 subparts, with n1 (k2 + 1) > k, so
 in some part two similar sets differ in at most k2 elements and agree on n2 - k2 of its subparts. Each choice
-of n2 - k2 subparts is a signature: its number and the hash of the set's elements in it.
+of n2 - k2 subparts is a signature: its number and the hash of the set's elements in it. Signatures of too few elements to tell
+sets apart are left out where the others suffice (see signatures()).
 
 Equal sets are one node from the start. Round 1 compares the nodes that share a signature with its smallest
-node, so a group of copies yields no more candidates than it has members. Round 2 compares what still
+and its largest node, so a group of copies yields no more than two candidates a member. Round 2 compares what still
 shares a signature but no component. Both joins test a bound on the difference (parity sketches: each differing
 element flips one bit) before they emit a pair, and each emitted pair is tested on the whole sets. A pair in
 one component after round 1 needs no test, and all others that share a signature are tested: no link is lost.
@@ -79,8 +80,8 @@ def _sets(width: int):
     return run
 
 
-def bands(size: int, percent: int, steps: int = 3) -> list[tuple[int, int]]:
-    """(band, k) of a set: its own band and, if a larger similar set can be there, the next.
+def bands(size: int, percent: int, steps: int = 3) -> list[tuple[int, int, int]]:
+    """(band, its largest size, k) of a set: its own band and, if a larger similar set can be there, the next.
 
     A band covers sizes in which the largest is about (100 / percent) ** steps of the smallest; k is the
     most elements in which two similar sets of the band can differ.
@@ -90,28 +91,43 @@ def bands(size: int, percent: int, steps: int = 3) -> list[tuple[int, int]]:
         edges.append(max(edges[-1] + 1, int(edges[-1] * (100 / percent) ** steps)))
     own = len(edges) - 2
     for band in (own, own + 1):
-        low = edges[band] if band < len(edges) else None
+        low = edges[band]
         top = max(low + 1, int(low * (100 / percent) ** steps)) - 1
         if band == own or 100 * size >= percent * low:
             # |A xor B| <= (1 - t) / (1 + t) (|A| + |B|)
-            out.append((band, 2 * top * (100 - percent) // (100 + percent)))
+            out.append((band, top, 2 * top * (100 - percent) // (100 + percent)))
     return out
 
 
-def signatures(s: np.ndarray, percent: int, n2: int = 2, k2: int = 1) -> np.ndarray:
-    """PartEnum signatures of a set of 64-bit hashes."""
+def signatures(s: np.ndarray, percent: int, n2: int = 2, k2: int = 1, spare: float = 0.08) -> np.ndarray:
+    """PartEnum signatures of a set of 64-bit hashes, without those of too few elements.
+
+    Subparts that are empty or nearly so are alike in unlike sets. A set knows in how many parts any similar set differs from it
+    in k2 elements at most. So it takes the largest m for which one of those parts must have m elements or more in each of its
+    choices, and leaves out all signatures of fewer. In that part a similar set has the very elements of the choice that both
+    agree on; of two sets the one with the larger m makes sure that neither leaves out that signature. `spare` more parts than
+    the method needs let large sets reach m = 1.
+    """
     choices = np.array([[i in c for i in range(n2)] for c in combinations(range(n2), n2 - k2)], np.uint64)
     out = []
     value = mix(s ^ BASE2)
-    for band, k in bands(len(s), percent):
-        n1 = (k + 1 + k2) // (k2 + 1)
-        cell = (s >> np.uint64(20)) % np.uint64(n1 * n2)
+    for band, top, k in bands(len(s), percent):
+        tag = np.uint64(band << 32)
+        if k == 0:  # only equal sets are similar
+            out.append(mix(value.sum(keepdims=True) * BASE2 + mix(np.array([5], np.uint64) + tag)))
+            continue
+        n1 = int((k // (k2 + 1) + 1) * (1 + spare))
+        cell = ((s >> np.uint64(20)) % np.uint64(n1 * n2)).astype(np.int64)
         sums = np.zeros(n1 * n2, np.uint64)
-        np.add.at(sums, cell.astype(np.int64), value)
+        np.add.at(sums, cell, value)
         sums = mix(sums + np.uint64(1)).reshape(n1, n2)
         sig = (sums[:, None, :] * choices[None]).sum(axis=2)  # one number for each part and choice
-        tag = np.arange(sig.size, dtype=np.uint64) + np.uint64(band << 32)
-        out.append(mix(sig.ravel() * BASE2 + mix(tag + np.uint64(7))))
+        held = (np.bincount(cell, minlength=n1 * n2).reshape(n1, 1, n2) * choices[None].astype(np.int64)).sum(axis=2)
+        differ = min(k, (len(s) + min(top, 100 * len(s) // percent)) * (100 - percent) // (100 + percent))
+        agree = n1 - differ // (k2 + 1)
+        least = np.sort(held.min(axis=1))[agree - 1]
+        x = mix(sig.ravel() * BASE2 + mix(np.arange(sig.size, dtype=np.uint64) + tag + np.uint64(7)))
+        out.append(x[held.ravel() >= least])
     return np.concatenate(out)
 
 
@@ -160,7 +176,7 @@ def links(base: DataFrame, sets: DataFrame, *, width: int, percent: int) -> Data
     nodes = written(sets.filter("n > 0").groupBy("n", "s1", "s2", *BITS).agg(F.min("doc").alias("doc"), F.min_by("version", "doc").alias("version")), "nodes")
     # made twice rather than written: they are larger than the texts
     sigs = base.select("text").mapInArrow(_signatures(width, percent), "sig long, s1 long")
-    shared = sigs.groupBy("sig").agg(F.min("s1").alias("pivot"), F.max("s1").alias("last")).filter("pivot < last").select("sig", "pivot")
+    shared = sigs.groupBy("sig").agg(F.min("s1").alias("pivot"), F.max("s1").alias("last")).filter("pivot < last").select("sig", "pivot", "last")
     shared = written(sigs.join(shared, "sig").distinct(), "shared")
 
     def tested(pairs: DataFrame) -> DataFrame:
@@ -184,7 +200,8 @@ def links(base: DataFrame, sets: DataFrame, *, width: int, percent: int) -> Data
         similar = 100 * both >= percent * (F.size("a_elements") + F.size("b_elements") - both)
         return beside(pairs, whole, "elements").filter(similar).select("a", "b")
 
-    near = shared.filter("s1 != pivot").select("pivot", F.col("s1").alias("member")).distinct()
+    # the smallest and the largest node of a signature: two rows a member, and few signatures with unlinked nodes after them
+    near = shared.select("sig", "s1", F.explode(F.array("pivot", "last")).alias("pivot")).filter("s1 != pivot").select("pivot", F.col("s1").alias("member")).distinct()
     pairs = near.join(nodes.alias("b"), F.col("member") == F.col("b.s1")).join(nodes.alias("a"), (F.col("pivot") == F.col("a.s1")) & _close(percent))
     first = written(tested(pairs), "links")
 
@@ -222,6 +239,7 @@ def jaccard_join(docs: DataFrame, *, width: int = 3, percent: int = 90) -> DataF
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of all documents; see jaccard_join() for odd rows."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join(docs).select("doc_id", "n_shingles", "component_id")
 
