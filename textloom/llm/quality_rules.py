@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import BLANKS, read_table, written
+from textloom.llm.common import BLANKS, read_table, small_side, written
 
 #: metric -> (the least distance of quartiles, fence above, fence below)
 METRICS = {
@@ -121,7 +121,8 @@ def quality_filter(docs: DataFrame, *, reach: int = 4, least_docs: int = 200) ->
 
     base_failed: fewer than 10 words, or over 20 % of the words in repeated five-word windows. Only documents that pass
     that rule feed the sketches. kept: not base_failed, and all metrics inside the fences of the group. Null lang
-    and source are groups of their own. Other columns than doc_id, text, lang, source are ignored.
+    and source are groups of their own. Other columns than doc_id, text, lang, source are ignored. Null and empty texts
+    have no words and fail. Repeated rows are judged each, and count each in the sketches; a text of any length is read whole.
     """
     keys = ["lang", "source"]
     df = rates(base_metrics(docs.select("doc_id", "text", *keys)).drop("text"))
@@ -136,7 +137,8 @@ def quality_filter(docs: DataFrame, *, reach: int = 4, least_docs: int = 200) ->
     named = lambda t, p: t.select(*(c if c in keys else F.col(c).alias(f"{p}_{c}") for c in t.columns))
     groups = df.select(*keys).distinct().join(named(fine, "a"), keys, "left").join(named(rough, "b"), "lang", "left")
     pick = lambda c: F.when(F.col("a_docs") >= least_docs, F.col(f"a_{c}")).when(F.col("b_docs") >= least_docs, F.col(f"b_{c}")).otherwise(F.lit(whole[c]).cast("long"))
-    chosen = groups.select(*keys, *(pick(c).alias(c) for c in limits))
+    # one row a language and source, so a large group is not gathered for its limits
+    chosen = small_side(groups.select(*keys, *(pick(c).alias(c) for c in limits)), "limits")
     inside = F.lit(True)
     for m, (_, above, below) in METRICS.items():
         inside = inside & (F.col(m) <= F.col(f"high_{m}")) if above else inside
@@ -146,6 +148,7 @@ def quality_filter(docs: DataFrame, *, reach: int = 4, least_docs: int = 200) ->
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and verdicts of all documents; see quality_filter() for odd rows."""
     return quality_filter(read_table(spark, sf_dir, "documents"))
 
 
