@@ -17,7 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import doc_key, read_table, version_of, written
+from textloom.functions.text import ngrams
+from textloom.llm.common import doc_key, read_table, small_side, version_of, written
 
 #: A whole run of these characters, of 12 or more.
 RUN = r"[A-Za-z0-9+/_-]{12,}+"
@@ -61,8 +62,7 @@ def dictionary(docs: DataFrame, least_docs: int = 3) -> DataFrame:
     """(triple): letter triples of the words of 4 to 11 letters that at least `least_docs` documents use."""
     words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]++"))
     used = docs.select(F.explode(F.filter(words, lambda w: F.char_length(w).between(4, 11))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs)
-    triples = F.transform(F.sequence(F.lit(1), F.char_length("word") - 2), lambda i: F.substr("word", i, F.lit(3)))
-    return used.select(F.explode(triples).alias("triple")).distinct()
+    return used.select(F.explode(ngrams(F.col("word"), 3)).alias("triple")).distinct()
 
 
 def features(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     kind = F.translate(F.translate(F.translate(value, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A" * 26), "abcdefghijklmnopqrstuvwxyz", "a" * 26), "0123456789", "0" * 10)
     n = F.char_length(value)
     own = found.select("value").distinct()
-    triples = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr(F.lower(value), i, F.lit(3)))
+    triples = F.when(n < 3, F.array(F.lower(value))).otherwise(ngrams(F.lower(value), 3))
     hits = own.select("value", F.explode(triples).alias("triple")).join(words.withColumn("known", F.lit(1)), "triple", "left").groupBy("value").agg(F.avg(F.coalesce("known", F.lit(0))).alias("coverage"))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     word = F.lower(F.regexp_extract("before", r"([A-Za-z_0-9]+)[^A-Za-z_0-9]*$", 1))
@@ -119,7 +119,8 @@ def scan(docs: DataFrame, *, least_docs: int = 3, threshold: float = 0.5) -> Dat
 
     The fixed rules give the labelled findings to learn from, secret or false; the forest judges all candidates. Null
     and empty texts hold none. A secret inside another one is not reported. If there is nothing to tell apart, the rules' findings are returned with score 1.
-    Rows that share a doc_id are told apart by their text; equal rows are reported once.
+    Rows that share a doc_id are told apart by their text; equal rows are reported once. Texts and values of any length are read whole.
+    Of findings with equal places the longer one counts; of training rows with equal hashes those of smaller doc and place. Other columns are ignored.
     """
     version = version_of(docs)
     base = docs.select(doc_key().alias("doc"), version.alias("version"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text")
@@ -127,7 +128,7 @@ def scan(docs: DataFrame, *, least_docs: int = 3, threshold: float = 0.5) -> Dat
     # the dictionary is a table, so that a frequent triple can be split in the join
     found = written(features(written(found, "candidates"), written(dictionary(docs, least_docs), "dictionary")), "features")
     # how often a path holds findings, smoothed
-    path = found.groupBy("source").agg(((F.sum(F.col("rule").cast("int")) + 1) / (F.count("*") + 100)).alias("path_rate"))
+    path = small_side(found.groupBy("source").agg(((F.sum(F.col("rule").cast("int")) + 1) / (F.count("*") + 100)).alias("path_rate")), "paths")
     shaped = found.join(path, "source")
     label = F.when(F.col("rule"), 1.0).when(known_false(F.col("value"), F.col("before"), F.col("coverage")), 0.0)
     model = train(shaped.withColumn("label", label).filter(F.col("label").isNotNull()))
@@ -143,4 +144,5 @@ def scan(docs: DataFrame, *, least_docs: int = 3, threshold: float = 0.5) -> Dat
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of all documents; see scan() for odd rows."""
     return scan(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
