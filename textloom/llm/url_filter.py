@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.text import ngrams
 from textloom.llm.common import UPPER, read_table, written
 
 #: (verdict, host, start of the path)
@@ -48,7 +49,7 @@ def fitting_rule(rules) -> tuple[Column, Column]:
 def _grams(text: Column, longest: int) -> Column:
     """For every character of text, the `longest` characters that end with it, padded at the start."""
     padded = F.concat(F.lit("\x02" * (longest - 1)), text, F.lit("\x03"))
-    return F.transform(F.sequence(F.lit(1), F.char_length(text) + 1), lambda i: F.substr(padded, i, F.lit(longest)))
+    return ngrams(padded, longest)
 
 
 def gram_scores(labelled: DataFrame, grams: DataFrame, order: int) -> DataFrame:
@@ -86,7 +87,8 @@ def filter_urls(pages: DataFrame, *, rules=RULES, order: int = 4) -> DataFrame:
 
     A URL that no rule fits is blocked if its score is below the threshold. Without accepted or without
     rejected URLs to learn from, such a URL is allowed. A null or odd URL has empty host and path. Score: null where
-    nothing was learned.
+    nothing was learned. A score equal to the threshold is allowed. Repeated rows are each returned, and a distinct host and path counts
+    once in the models. URLs of any length are read whole; other columns are ignored.
     """
     host, path = url_parts("url")
     own = written(pages.select("page_id", host.alias("host"), path.alias("path")), "urls")
@@ -111,4 +113,5 @@ def filter_urls(pages: DataFrame, *, rules=RULES, order: int = 4) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts of all pages; see filter_urls() for odd rows."""
     return filter_urls(read_table(spark, sf_dir, "pages").select("page_id", "url")).drop("score")
