@@ -25,10 +25,11 @@ HASH = ["h1", "h2"]
 
 
 class LineRuns:
-    """Levels of sorted runs of (h1, h2), each a table bucketed and sorted by its hash."""
+    """Levels of sorted runs of (h1, h2), each a table bucketed and sorted by its hash; as many buckets as the session has shuffle partitions."""
 
-    def __init__(self, spark: SparkSession, *, fanout: int = 2, buckets: int = 16):
-        self.spark, self.fanout, self.buckets = spark, fanout, buckets
+    def __init__(self, spark: SparkSession, *, fanout: int = 2, buckets: int | None = None):
+        self.spark, self.fanout = spark, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.name = f"line_runs_{uuid.uuid4().hex[:12]}"
 
@@ -77,7 +78,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, batches: int = 4, fanou
     Returns the columns of docs with the text left, plus n_lines, n_dropped (long) and kept_sha256; names
     that clash with those three are replaced. A null or empty text is one empty line; its text stays as it is.
     Rows that share a doc_id are one document, null ids one document behind all others. `batches` ranges of
-    doc_id pass through the runs one after another; their number changes the work, not the result.
+    doc_id pass through the runs one after another; their number changes the work, not the result. Keys are compared by 128-bit hashes.
     """
     spark, version = docs.sparkSession, version_of(docs)
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
@@ -102,6 +103,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, batches: int = 4, fanou
         runs.add(marked.filter(~F.col("held")))
         decided = marked.filter(F.col("held") | (F.col("first") < F.col("last"))).select(*HASH, "held", "first")
         hits.append(keys.join(decided, HASH).filter(F.col("held") | (F.col("first") < F.col("doc"))).select("doc", "version", "pos"))
+    runs.drop()
     gone = reduce(DataFrame.unionAll, hits).distinct().groupBy("doc", "version").agg(F.collect_list("pos").alias("gone"))
 
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_sha256")]
@@ -120,6 +122,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, batches: int = 4, fanou
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, dropped lines and a digest of what is left, of all documents; see dedup_lines() for odd rows."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
