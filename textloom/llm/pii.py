@@ -102,7 +102,7 @@ def votes(spans: DataFrame) -> DataFrame:
     never = F.lit(False)
     labelers = [
         # regex: the shape of the match
-        vote(F.col("match").rlike(r"@[^@]+\.[A-Za-z]{2,}$|^\+|^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.col("match").rlike(r"^[0-9.]+$") & (n < 7)),
+        vote(F.col("match").rlike(r"@[^@]+\.[A-Za-z]{2,}$|^\+|^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), (F.col("match").rlike(r"^[0-9.]+$") & (n < 7)) | F.col("match").rlike(r"^[0-9]+\.[0-9]+\.[0-9]+$")),
         vote(n.between(9, 16) | F.col("match").contains("@"), (n < 7) & ~F.col("match").rlike("[@.]")),
         vote(never, F.col("match").rlike(r"^([0-9])(?:[^0-9]*+\1)*+[^0-9]*+$") | (digits == "") & ~F.col("match").rlike(r"@|\[|\(")),
         # gazetteers: the word before
@@ -231,4 +231,5 @@ def _apart(added: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of all documents; see find_pii() for odd rows."""
     return find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
