@@ -21,3 +21,17 @@ def test_stages(spark):
     pieces = P.STAGES[-1][1](spark, docs, sf)
     assert pieces.select("doc_id").distinct().count() == docs.count()
     assert pieces.groupBy("sequence_id").sum("length").filter("`sum(length)` > 2048").isEmpty()
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and repeated rows, equal texts and no rows at all pass through every stage."""
+    sf = "/root/testdata/sf0.001"
+    base = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (900001, " \t\n", None, None, 3), (900002, "word " * 20_000, "en", "s", 100_000)], base.schema)
+    docs = base.unionByName(odd).unionByName(base.limit(5))
+    for rows in (docs, docs.limit(0)):
+        now = rows
+        for name, stage in P.STAGES[:-1]:
+            now = P.written(stage(spark, now, sf), name)
+            assert now.columns == P.COLUMNS and now.count() <= rows.count()
+        assert P.STAGES[-1][1](spark, now, sf).select("doc_id").distinct().count() == now.select("doc_id").distinct().count()

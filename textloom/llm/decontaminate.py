@@ -180,6 +180,7 @@ def ascii_words(column: str):
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hits and benchmark items of all documents; see decontaminate() for odd rows."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate(docs, read_table(spark, sf_dir, "benchmark")).drop("text")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import read_table
+from textloom.llm.common import read_table, text_bytes
 
 #: Bytes that a segment labels, bytes that lead in to it on either side, and segments that run together.
 SEGMENT, CONTEXT, TOGETHER = 112, 16, 2048
@@ -205,10 +205,9 @@ def _predict(model: BiGru | None, column: int):
             has = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False)) if model else np.zeros(len(texts), bool)
             lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             if has.any():
-                _, offsets, data = texts.cast(pa.large_string()).buffers()
-                offsets = np.frombuffer(offsets, np.int64)
-                start, end = (offsets[i : i + len(texts)][has] for i in (0, 1))
-                total = model.totals(np.frombuffer(data, np.uint8), start, end)
+                bounds, data = text_bytes(texts)
+                start, end = bounds[:-1][has], bounds[1:][has]
+                total = model.totals(data, start, end)
                 p = np.exp((total - total.max(1, keepdims=True)) / np.sqrt(end - start)[:, None])
                 lang[has], score[has] = np.array(model.langs, object)[total.argmax(1)], p.max(1) / p.sum(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
