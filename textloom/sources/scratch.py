@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder (spark.checkpoint.dir). Where that is unset, a local folder serves a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -17,7 +20,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def begin() -> None:
+    """Forget the scratch folders made so far: release() deletes later ones only."""
+    _MADE.clear()
+
+
+def release(spark: SparkSession, needed: DataFrame) -> None:
+    """Delete the scratch folders made since begin() but those that `needed` reads; for the end of a step, when its result is written."""
+    files = [f.rsplit("/", 1)[0] for f in needed.inputFiles()]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in list(_MADE):
+        if not any(path.rsplit("/", 1)[1] in f for f in files):
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+            _MADE.remove(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
