@@ -1,7 +1,10 @@
 """A corpus from raw documents: language ID, line dedup, near-duplicate removal, decontamination, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents, with the decisions of the stage carried out.
+documents, with the decisions of the stage carried out. Its result is to be written before the next stage starts, which deletes
+the intermediate tables of the stages before. Null and empty texts have no language and go in the first stage; repeated rows
+pass as often as they come until near_dedup, which keeps all rows of the smallest doc_id of a group; empty tables give empty ones;
+texts of any length are read whole; columns beside those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from textloom.llm.jaccard_join import jaccard_join
 from textloom.llm.language_id import identify, learn_from, train_on
 from textloom.llm.line_dedup import dedup_lines
 from textloom.llm.packing import pack, tokenize
+from textloom.sources.scratch import begin, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,23 +34,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that a smaller doc_id holds; documents with nothing left go."""
+    begin()
     left = dedup_lines(docs.select(*COLUMNS)).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of near-duplicates (five-word shingles, Jaccard 0.8), and documents without words."""
+    release(spark, docs)
     found = jaccard_join(docs.select(*COLUMNS), width=5, percent=80)
     return found.filter((F.col("n_shingles") == 0) | F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a passage of the benchmark."""
+    release(spark, docs)
     return decontaminate(docs.select(*COLUMNS), read_table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences of 2048."""
+    release(spark, docs)
     import public_tokenizers
 
     return pack(tokenize(docs, public_tokenizers.path("word_bpe_49k.json")))
