@@ -358,12 +358,15 @@ def pattern_mining(spark, sf):
     return D.phrase_counts(corpus(spark, sf), 3, 3)
 
 
-_PHRASES = " UNION ALL ".join(f"SELECT doc_id, array_to_string(t[i:i + {n - 1}], ' ') AS phrase FROM (SELECT doc_id, t, unnest(range(1, len(t) - {n - 2})) AS i FROM toks)" for n in range(2, 7))
+_FILLED = " OR ".join(f"contains(p, '{w}')" for w in L.FILLER)
+_PHRASES = " UNION ALL ".join(
+    f"SELECT doc_id, unnest(list_distinct(list_filter(list_transform(range(1, len(t) - {n - 2}), lambda i: array_to_string(t[i:i + {n - 1}], ' ')), lambda p: length(p) BETWEEN 8 AND 60 AND ({_FILLED})))) AS phrase FROM toks" for n in range(2, 7)
+)
 
 
+# phrases are made inside a document's row: a row for each place with a copy of the whole document would not fit a long one
 @query(f"""WITH toks AS (SELECT doc_id, {TOKS.format('text')} AS t FROM {CORPUS}), p AS ({_PHRASES})
-SELECT phrase, count(DISTINCT doc_id) AS docs FROM p WHERE length(phrase) BETWEEN 8 AND 60 AND NOT regexp_matches(phrase, '[0-9]') AND ({" OR ".join(f"contains(phrase, '{w}')" for w in L.FILLER)})
-AND NOT regexp_matches(phrase, '{L.KNOWN_SLOP.replace("'", "''")}') GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3""")
+SELECT phrase, count(DISTINCT doc_id) AS docs FROM p WHERE NOT regexp_matches(phrase, '[0-9]') AND NOT regexp_matches(phrase, '{L.KNOWN_SLOP.replace("'", "''")}') GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3""")
 def pattern_mining_filler(spark, sf):
     return D.filler_phrases(corpus(spark, sf), 3)
 
