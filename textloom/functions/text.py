@@ -47,8 +47,8 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def rounded(x: Column, digits: int) -> Column:
-    """Half up on the binary value: the same in every engine that has floor."""
-    return F.floor(x * 10**digits + 0.5) / 10**digits
+    """Half up; what is within 1e-9 of a tie goes up, so that neither the engine nor the order of a sum matters."""
+    return F.floor(x * 10**digits + (0.5 + 1e-9)) / 10**digits
 
 
 def present(text: Column, phrases: list[str]) -> Column:

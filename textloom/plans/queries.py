@@ -43,7 +43,7 @@ TOKS = "regexp_extract_all(lower({}), '[a-z][a-z0-9_''-]*')"
 
 
 def r4(x: str, d: int = 4) -> str:
-    return f"floor(({x}) * {10**d} + 0.5) / {10**d}"
+    return f"floor(({x}) * {10**d} + 0.500000001) / {10**d}"
 
 
 def any_of(col: str, patterns: list[str]) -> str:
