@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, pii, quality_rules, secret_scan, substring_dedup, url_filter
+from textloom.llm import decontaminate, filter_audit, jaccard_join, language_id, license_scan, line_dedup, merkle_manifest, packing, pii, quality_rules, secret_scan, substring_dedup, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_pii": pii.op10_pii,
+    "op11_merkle_manifest": merkle_manifest.op11_merkle_manifest,
+    "op12_license_scan": license_scan.op12_license_scan,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLES = {
@@ -23,4 +26,6 @@ ORACLES = {
     "op4_jaccard_join": jaccard_join.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op11_merkle_manifest": merkle_manifest.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
