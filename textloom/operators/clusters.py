@@ -41,22 +41,50 @@ def similar_pairs(docs: DataFrame, least: float = 0.45) -> DataFrame:
     return pairs.select("batch", "a", "b", sim.alias("similarity")).filter(F.col("similarity") >= least)
 
 
+#: Open pairs that are settled in one grouped call; with more, a round of joins settles a part first.
+SETTLE_PAIRS = 200_000
+
+
+def _settle(pairs):
+    """The leaders among the items of a batch, one after another."""
+    import pandas as pd
+
+    smaller: dict = {}
+    for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
+        smaller.setdefault(a, [])
+        smaller.setdefault(b, []).append(a)
+    leads: dict = {}
+    for i in sorted(smaller):
+        leads[i] = not any(leads[x] for x in smaller[i])
+    return pd.DataFrame({"batch": pairs["batch"].iloc[0], "id": pd.Series([i for i, x in leads.items() if x], dtype=pairs["a"].dtype)})
+
+
 def leaders(pairs: DataFrame) -> DataFrame:
     """(batch, leader, member) of pairs (batch, a, b), a < b: an item is a leader unless a smaller leader is linked with it; a leader's members are all its larger partners.
 
-    Groups may share members. Each round settles the items whose smaller partners are all settled as followers, and the partners of
-    new leaders; it ends when no item is open.
+    Groups may share members. In a round, items without a smaller open partner lead and settle their partners; what is left open is settled in
+    one call a batch as soon as it is SETTLE_PAIRS pairs or fewer.
     """
     pairs = written(pairs.select("batch", "a", "b").distinct(), "pairs")
-    items = pairs.select("batch", F.col("a").alias("id")).unionAll(pairs.select("batch", "b")).distinct()
-    state = written(items.withColumn("leads", F.lit(None).cast("boolean")), "state")
-    while True:
-        before = pairs.join(state.withColumnRenamed("id", "a"), ["batch", "a"]).groupBy("batch", F.col("b").alias("id")).agg(F.max("leads").alias("led"), F.every(F.col("leads").isNotNull()).alias("settled"))
-        now = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.col("led"), False).when(F.coalesce("settled", F.lit(True)), True)
-        state = written(state.join(before, ["batch", "id"], "left").select("batch", "id", now.alias("leads")), "state")
-        if state.filter("leads IS NULL").isEmpty():
-            break
-    lead = state.filter("leads").select("batch", F.col("id").alias("a"))
+    ends = lambda p: p.select("batch", F.col("a").alias("id")).unionAll(p.select("batch", F.col("b").alias("id"))).distinct()
+    left, lead = pairs, None
+    while left.count() > SETTLE_PAIRS:
+        heads = left.select("batch", F.col("a").alias("id")).distinct().join(left.select("batch", F.col("b").alias("id")), ["batch", "id"], "left_anti")
+        heads = written(heads, "heads")
+        led = left.join(heads.withColumnRenamed("id", "a"), ["batch", "a"], "left_semi").select("batch", F.col("b").alias("id")).distinct()
+        settled_ = written(heads.unionAll(led), "settled")
+        rest = left
+        for c in "ab":
+            rest = rest.join(settled_.withColumnRenamed("id", c), ["batch", c], "left_anti")
+        rest = written(rest.select("batch", "a", "b"), "open")
+        # items that are neither settled nor linked with an open one have no leader before them
+        alone = ends(left).join(settled_, ["batch", "id"], "left_anti").join(ends(rest), ["batch", "id"], "left_anti")
+        part = heads.unionAll(alone)
+        lead = part if lead is None else lead.unionAll(part)
+        left = rest
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    last = left.groupBy("batch").applyInPandas(_settle, f"batch {kinds['batch']}, id {kinds['a']}")
+    lead = written(last if lead is None else lead.unionAll(last), "leaders").withColumnRenamed("id", "a")
     return pairs.join(lead, ["batch", "a"], "left_semi").select("batch", F.col("a").alias("leader"), F.col("b").alias("member"))
 
 

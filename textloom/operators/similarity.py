@@ -4,22 +4,31 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import dot, sentences, tokens
 
 
+def fingerprint_key(text: Column) -> Column:
+    """The lengths in tokens (up to 20) of the first 8 sentences, comma-joined."""
+    lengths = F.transform(F.slice(sentences(text), 1, 8), lambda s: F.least(F.lit(20), F.size(tokens(s))))
+    return F.array_join(F.transform(lengths, lambda n: n.cast("string")), ",")
+
+
+def opening_key(text: Column) -> Column:
+    """The first five tokens."""
+    return F.array_join(F.slice(tokens(text), 1, 5), " ")
+
+
 def fingerprint_clusters(docs: DataFrame) -> DataFrame:
     """(fingerprint, n, first_id): groups of two or more documents with equal sentence lengths (up to 20) in their first 8 sentences."""
-    lengths = F.transform(F.slice(sentences(F.col("text")), 1, 8), lambda s: F.least(F.lit(20), F.size(tokens(s))))
-    return _groups(docs.select("doc_id", F.array_join(F.transform(lengths, lambda n: n.cast("string")), ",").alias("key")), "fingerprint")
+    return _groups(docs.select("doc_id", fingerprint_key(F.col("text")).alias("key")), "fingerprint")
 
 
 def opening_clusters(docs: DataFrame) -> DataFrame:
     """(opening, n, first_id): groups of documents with the same first five tokens."""
-    rows = docs.select("doc_id", F.array_join(F.slice(tokens(F.col("text")), 1, 5), " ").alias("key"))
-    return _groups(rows.filter("key != ''"), "opening")
+    return _groups(docs.select("doc_id", opening_key(F.col("text")).alias("key")).filter("key != ''"), "opening")
 
 
 def _groups(rows: DataFrame, name: str) -> DataFrame:

@@ -6,10 +6,14 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _MADE: list[str] = []
 
+#: Rows up to which the smaller side of a join is broadcast; beyond, that join is shuffled.
+BROADCAST_ROWS = 100_000
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder (spark.checkpoint.dir). Where that is unset, a local folder serves a local master only."""
@@ -47,3 +51,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, broadcast if it has no more than `most` rows; counts it, so give it a written table."""
+    return F.broadcast(df) if df.count() <= most else df
