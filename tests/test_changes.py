@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from textloom.operators import changes as C
 from textloom.operators import clusters as X
 from textloom.operators import scoring
-from textloom.operators.similarity import vector_search
 from textloom.sources import sinks
 
 
@@ -69,18 +68,6 @@ def test_equal_texts_of_a_batch_are_a_cluster(spark):
     assert [(r["batch"], r["leader"], r["items"]) for r in X.batch_clusters(df).collect()] == [(1, 0, [0, 1])]
 
 
-def test_vector_search_in_blocks(spark, monkeypatch):
-    from textloom.operators import similarity
-
-    draw = random.Random(7)
-    rows = [(i, [draw.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(60, None)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    search = lambda: {tuple(r) for r in vector_search(df, df.filter("vec_id % 5 = 0"), 3).collect()}
-    whole = search()
-    monkeypatch.setattr(similarity, "QUERY_BLOCK", 4)
-    assert search() == whole and len(whole) == 36
-    assert vector_search(df, df.limit(0), 3).count() == 0
-
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(i, f"u{i % 3}", float(i)) for i in range(10)], "event_id long, user_id string, score double").withColumn("ts", F.current_timestamp())

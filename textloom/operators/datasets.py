@@ -179,15 +179,3 @@ def filled(templates: DataFrame, words: dict[str, list[str]], n: int, seed: int
         pick = F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(name)), F.lit(len(values))) + 1).cast("int"))
         rows = rows.withColumn("text", F.replace("text", F.lit("{" + name + "}"), pick))
     return rows.select("id", "text")
-
-
-def pattern_queue(docs: DataFrame, least: int = 3, k: int = 50) -> DataFrame:
-    """The k most frequent phrases of filler_phrases(), with the first and the last time they came, their sources, and whether they are ready: docs (doc_id, text, ts, source)."""
-    found = filler_phrases(docs, 1)
-    ready = found.withColumn("ready", F.col("docs") >= least)
-    return ready.orderBy(F.desc("docs"), "phrase").limit(k)
-
-
-def promote(queue: DataFrame, approved: DataFrame) -> DataFrame:
-    """The queue with promoted: whether its phrase is among the approved ones."""
-    return queue.join(approved.select("phrase", F.lit(True).alias("promoted")).distinct(), "phrase", "left").na.fill(False, ["promoted"])

@@ -1,10 +1,8 @@
-"""Structural clusters, set similarity and vector search."""
+"""Structural clusters and the distance to a mean vector."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import dot, sentences, tokens
@@ -35,52 +33,6 @@ def _groups(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy(F.col("key").alias(name)).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
 
 
-#: Query vectors that are held in a task at a time.
-QUERY_BLOCK = 4096
-
-
-def _nearest(ids: np.ndarray, q: np.ndarray, k: int):
-    """From batches of (vec_id, embedding), the k of each batch with the largest cosine to each query."""
-
-    def run(batches):
-        for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            v = np.array(batch.column(1).to_pylist(), float).reshape(len(own), -1)
-            if not len(own):
-                continue
-            sim = np.round(v @ q.T / np.sqrt((v * v).sum(1)[:, None] * (q * q).sum(1)[None]), 6)
-            sim[own[:, None] == ids[None]] = -np.inf
-            # by falling cosine, then by id
-            order = np.lexsort((np.broadcast_to(own[:, None], sim.shape), -sim), axis=0)[:k]
-            at = (order, np.broadcast_to(np.arange(len(ids)), order.shape))
-            there = np.isfinite(sim[at])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at[1]][there]), pa.array(own[order][there]), pa.array(sim[at][there])], names=["query_id", "vec_id", "sim"])
-
-    return run
-
-
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, rank): the k vectors with the largest cosine to each query vector, itself left out; ties by vec_id.
-
-    Queries go in blocks of QUERY_BLOCK, each a matrix that meets all vectors batch by batch; only the k best of a batch are
-    shuffled. Vectors without an embedding are left out.
-    """
-    q = queries.filter(F.col("embedding").isNotNull()).select("vec_id", "embedding")
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    own = vectors.filter(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    near = None
-    for i in range(blocks):
-        rows = q.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).collect()  # about QUERY_BLOCK rows
-        if rows:
-            ids, matrix = np.array([r["vec_id"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], float)
-            part = own.mapInArrow(_nearest(ids, matrix, k), "query_id long, vec_id long, sim double")
-            near = part if near is None else near.unionAll(part)
-    if near is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, rank int")
-    order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "vec_id", "rank")
-
-
 def centroid_uniqueness(vectors: DataFrame, seeds: DataFrame) -> DataFrame:
     """(vec_id, uniqueness): 1 - cosine to the mean of the seed vectors, from 0 to 1."""
     mean = seeds.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))

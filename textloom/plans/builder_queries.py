@@ -199,12 +199,6 @@ def synthetic_samples(spark, sf):
 _QUEUE = "contains(phrase, 'robust') OR contains(phrase, 'leverage')"
 
 
-@query()
-def pattern_queue(spark, sf):
-    queue = D.pattern_queue(corpus(spark, sf))
-    return D.promote(queue, queue.filter("docs % 2 = 0").select("phrase"))
-
-
 # ---- markup ------------------------------------------------------------------------------------------------------------
 
 _FEED = "<feed><title>Feed</title>{}</feed>"

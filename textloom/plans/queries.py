@@ -12,6 +12,7 @@ from textloom.operators import datasets as D
 from textloom.operators import scoring
 from textloom.operators import signals as S
 from textloom.operators import similarity as X
+from textloom.operators import vector_index as V
 from textloom.sources.readers import corpus, domain_of, host_domain, score_events, table
 
 QUERIES: dict = {}
@@ -303,7 +304,8 @@ def webhook_matches(spark, sf):
     return A.webhook_matches(e, F.broadcast(hooks))
 
 
-@query()
+@query(f"""SELECT domain, list_reduce(list_prepend(4800e0, list(step ORDER BY ts, event_id)), lambda a, s: greatest(3000e0, least(7000e0, a + s))) / 100 AS threshold FROM (
+  SELECT domain, ts, event_id, floor(CASE WHEN score < {CUT} THEN -1 ELSE 1 END * least(2e0, 2 * least(1e0, score / 100)) * 0.05e0 * 100 + 0.5e0) AS step FROM {EVENTS}) GROUP BY domain""")
 def threshold_fold(spark, sf):
     e = score_events(spark, sf).select("domain", "ts", F.col("event_id").alias("id"), (F.col("score") < CUT).alias("was_too_harsh"), F.least(F.lit(1.0), F.col("score") / 100).alias("confidence"))
     return A.adapt_thresholds(e)
@@ -327,7 +329,7 @@ s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DO
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 15""")
 def vector_topk(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return X.vector_search(v, v.filter("vec_id % 20 = 0"), 15)
+    return V.search(v, v.filter("vec_id % 20 = 0"), 15)
 
 
 @query()
