@@ -83,8 +83,11 @@ def test_sinks(spark, tmp_path):
         raise AssertionError
     except ValueError as e:
         assert "10 rows" in str(e)
-    sinks.compact_log(spark, f"{tmp_path}/f", f"{tmp_path}/g", 4)
-    assert spark.read.parquet(f"{tmp_path}/g").count() == 4
+    log = sinks.log_table(spark, f"file://{tmp_path}/logs", "log string, ts long, event_id long", 4)
+    for start in (0, 3):
+        log.upsert(spark.range(start, start + 5).select(F.lit("a").alias("log"), F.col("id").alias("ts"), F.col("id").alias("event_id")))
+    log.upsert(spark.createDataFrame([("b", 1, 1), (None, 2, 2)], "log string, ts long, event_id long"))
+    assert sorted(map(str, log.read().select("log", "ts").collect())) == sorted(map(str, [*(f"Row(log='a', ts={t})" for t in (4, 5, 6, 7)), "Row(log='b', ts=1)", "Row(log=None, ts=2)"]))
     old = spark.createDataFrame([("a", 1, 5), ("b", 2, 5)], "user_id string, v int, updated_at int")
     new = spark.createDataFrame([("a", 3, 5), ("b", 4, 4), ("c", 5, 1)], "user_id string, v int, updated_at int")
     assert {tuple(r) for r in sinks.upserted(old, new).collect()} == {("a", 3, 5), ("b", 2, 5), ("c", 5, 1)}

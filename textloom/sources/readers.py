@@ -52,3 +52,23 @@ def host_domain(url: Column) -> Column:
     for part, kind in kinds:
         out = out.when(host.contains(part), kind)
     return out.otherwise("general")
+
+
+def newest_scores(spark: SparkSession, path: str, k: int, columns: list[str], order: tuple[str, ...] = ("ts", "event_id"), where: dict | None = None) -> DataFrame:
+    """The newest k events of the folders that record_scores() writes, with those columns; `where` has values that columns must equal.
+
+    Days are counted first, from the columns of `where` alone, and only the newest that hold k rows are read: the scan has them as partition filter,
+    `where` as pushed filter, and no other columns. Each task keeps its k newest rows, so k rows a task are all that meet.
+    """
+    rows = spark.read.parquet(path)
+    for c, v in (where or {}).items():
+        rows = rows.filter(F.col(c) == v)
+    first, left = None, k
+    for day, n in rows.groupBy("day").count().orderBy(F.desc("day")).collect():  # a row a day
+        first, left = day, left - n
+        if left <= 0:
+            break
+    if first is None:
+        return rows.select(*columns).limit(0)
+    kept = rows.filter(F.col("day") >= F.lit(first)) if left <= 0 else rows
+    return kept.select(*{*columns, *order}).orderBy(*(F.desc(c) for c in order)).limit(k).select(*columns)
