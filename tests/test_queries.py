@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from textloom.plans import builder_queries, change_queries, cluster_queries, domain_queries, ingest_queries, reasoning_queries, score_sql, stance_queries  # noqa: F401 - they register their queries
+from textloom.plans import builder_queries, change_queries, cluster_queries, domain_queries, ingest_queries, reasoning_queries, score_sql, stance_queries, training_queries  # noqa: F401 - they register their queries
 from textloom.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -158,24 +158,3 @@ def merged(base: DataFrame, more: DataFrame, chars: int = 80) -> DataFrame:
     new = more.withColumn("_k", key).join(base.select(key.alias("_k")).distinct(), "_k", "left_anti")
     first = new.groupBy("_k").agg(F.min("id").alias("id"))
     return base.unionByName(new.join(first, ["_k", "id"], "left_semi").drop("_k"))
-
-
-def split_rows(rows: DataFrame, key: str, share: float = 0.15, seed: int = 42) -> DataFrame:
-    """Add split, train or eval, by a hash of the key: about the same share of every group, and the same rows in every run."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(10_000))
-    return rows.withColumn("split", F.when(draw < int(share * 10_000), "eval").otherwise("train"))
-
-
-def shuffled(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """All rows in an order that the seed gives, the same in every run; equal hashes by key."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key)
-
-
-def filled(templates: DataFrame, words: dict[str, list[str]], n: int, seed: int = 42) -> DataFrame:
-    """(id, text): n texts from templates (pos, template), in turn, with each {name} replaced by one of its words, drawn by a hash of seed, id and name."""
-    size = templates.count()  # a handful
-    rows = templates.sparkSession.range(n).withColumn("pos", F.col("id") % size).join(F.broadcast(templates), "pos").withColumn("text", F.col("template"))
-    for name, values in words.items():
-        pick = F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(name)), F.lit(len(values))) + 1).cast("int"))
-        rows = rows.withColumn("text", F.replace("text", F.lit("{" + name + "}"), pick))
-    return rows.select("id", "text")

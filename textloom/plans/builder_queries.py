@@ -126,19 +126,25 @@ _LABEL_SAMPLES = [
     "Fixes #42 because p99 went from 340 ms to 85 ms, see table 3.", "This enhances user experience and is a robust solution, going forward.", "We considered an alternative in 2021.",
     "A robust solution.", "Nothing to see here.", "doi: 10.1234 figure 2 and 12000 rows in app.py",
 ]
-_LABEL_TEXT = f"(SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN {_list(_LABEL_SAMPLES)}[doc_id % {len(_LABEL_SAMPLES)} + 1] ELSE concat_ws(' ', left(text, 200), {_list(_LABEL_SAMPLES)}[doc_id % {len(_LABEL_SAMPLES)} + 1]) END AS text FROM documents)"
+LABEL_TEXT = f"(SELECT doc_id, concat_ws(' ', text, {_list(_LABEL_SAMPLES)}[doc_id % {len(_LABEL_SAMPLES)} + 1]) AS text FROM documents)"
 # word boundaries of this SQL know ASCII only
 _SHOWN = r"regexp_replace(text, '[^\P{L}\x00-\x7F]', 'x', 'g')"
 _SHOWS = lambda ps: "(" + " + ".join(f"CAST(regexp_matches({_SHOWN}, '(?i){_q(p)}') AS INTEGER)" for p in ps) + ")"
 
 
-@query(rf"""WITH c AS (SELECT doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS n, {_SHOWS(D.SPECIFIC)} AS spec, {_SHOWS(D.STOCK)} AS slop FROM {_LABEL_TEXT}),
+WEAK = rf"""WITH c AS (SELECT doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS n, {_SHOWS(D.SPECIFIC)} AS spec, {_SHOWS(D.STOCK)} AS slop FROM {LABEL_TEXT}),
 l AS (SELECT *, CASE WHEN n < 40 THEN NULL WHEN spec >= 3 THEN 'reviewed' WHEN slop >= 2 THEN 'slop' WHEN spec >= 2 AND slop = 0 THEN 'reviewed' WHEN slop >= 1 AND spec = 0 THEN 'slop' END AS label FROM c)
-SELECT doc_id, label, coalesce(label, CASE WHEN spec >= 1 THEN 'reviewed' ELSE 'slop' END) AS abstract_label FROM l""")
+SELECT doc_id, label, coalesce(label, CASE WHEN spec >= 1 THEN 'reviewed' ELSE 'slop' END) AS abstract_label FROM l"""
+
+
+def label_text(spark, sf):
+    """Whole documents, each followed by a sample."""
+    return table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", "text", _pick(_LABEL_SAMPLES)).alias("text"))
+
+
+@query(WEAK)
 def weak_labels(spark, sf):
-    d = table(spark, sf, "documents")
-    text = F.when(F.col("doc_id") % 4 == 0, _pick(_LABEL_SAMPLES)).otherwise(F.concat_ws(" ", F.left("text", F.lit(200)), _pick(_LABEL_SAMPLES)))
-    return d.select("doc_id", text.alias("text")).select("doc_id", D.weak_label(F.col("text")).alias("label"), D.abstract_label(F.col("text")).alias("abstract_label"))
+    return label_text(spark, sf).select("doc_id", D.weak_label(F.col("text")).alias("label"), D.abstract_label(F.col("text")).alias("abstract_label"))
 
 
 _KINDS = ["reddit", "wiki", "medicine", "closed_qa", "elsewhere"]
@@ -180,25 +186,6 @@ def merged_samples(spark, sf):
     return D.merged(d.filter("id % 3 = 0"), d.filter("id % 3 != 0")).select("id")
 
 
-@query()
-def eval_split(spark, sf):
-    return D.split_rows(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
-
-
-@query()
-def shuffled_samples(spark, sf):
-    return D.shuffled(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
-
-
-@query()
-def synthetic_samples(spark, sf):
-    templates = spark.createDataFrame(list(enumerate(["Updated the {part} to improve {quality}.", "Fixed {part} for better {quality}."])), "pos long, template string")
-    return D.filled(templates, {"part": ["cache", "parser", "router"], "quality": ["speed", "clarity"]}, 50)
-
-
-_QUEUE = "contains(phrase, 'robust') OR contains(phrase, 'leverage')"
-
-
 # ---- markup ------------------------------------------------------------------------------------------------------------
 
 _FEED = "<feed><title>Feed</title>{}</feed>"
