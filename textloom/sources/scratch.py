@@ -4,12 +4,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_MADE: list[str] = []
+_OWNER: ContextVar[Scope | None] = ContextVar("owner", default=None)
+
+
+class Scope:
+    """Owns the scratch folders that are made inside its `with` block, in its thread and by nobody else; delete() removes them, when nothing is to be read from them any more."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scope:
+        self._token = _OWNER.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _OWNER.reset(self._token)
+
+    def delete(self, spark: SparkSession) -> None:
+        conf = spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths = []
+
 
 #: Rows up to which the smaller side of a join is broadcast; beyond, that join is shuffled.
 BROADCAST_ROWS = 100_000
@@ -25,26 +48,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    if owner := _OWNER.get():
+        owner.paths.append(path)
     return path
 
 
-def begin() -> None:
-    """Forget the scratch folders made so far: release() deletes later ones only."""
-    _MADE.clear()
-
-
-def release(spark: SparkSession, needed: DataFrame) -> None:
-    """Delete the scratch folders made since begin() but those that `needed` reads; for the end of a step, when its result is written."""
-    files = [f.rsplit("/", 1)[0] for f in needed.inputFiles()]
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in list(_MADE):
-        if not any(path.rsplit("/", 1)[1] in f for f in files):
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-            _MADE.remove(path)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, outlives executors."""
     spark = df.sparkSession
@@ -56,3 +64,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, broadcast if it has no more than `most` rows; counts it, so give it a written table."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def begin() -> None:
+    """Nothing to forget: a Scope owns its folders."""
+
+
+def release(spark: SparkSession, needed: DataFrame) -> None:
+    """Nothing to delete: a Scope owns its folders."""
