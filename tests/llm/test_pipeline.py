@@ -1,5 +1,7 @@
 """The pipeline's contract: its stages keep the columns, carry out their decisions, and pack what is left."""
 
+import threading
+
 import corpus_pipeline as P
 from textloom.llm.decontaminate import decontaminate
 from textloom.llm.jaccard_join import jaccard_join
@@ -35,3 +37,32 @@ def test_stages_on_odd_rows(spark):
             now = P.written(stage(spark, now, sf), name)
             assert now.columns == P.COLUMNS and now.count() <= rows.count()
         assert P.STAGES[-1][1](spark, now, sf).select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
+
+
+def test_a_run_deletes_its_own_tables_only(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    mine = P.written(docs, "elsewhere")
+    first = P.written(P.STAGES[0][1](spark, docs, sf), "one")
+    lazy = P.STAGES[1][1](spark, first, sf)
+    made = P._MADE[threading.get_ident(), sf]
+    paths = list(made.paths)
+    other = P.STAGES[1][1](spark, first, f"{sf}/")  # another run, over another name of the folder
+    assert paths and lazy.count() == other.count()
+    second = P.written(lazy, "two")
+    P.STAGES[2][1](spark, second, sf)
+    assert made.paths == [] and other.count() == second.count() and mine.count() == 60
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def test_stages_leave_out_other_columns(spark):
+    """Columns beside those of documents, also under names that operators give to theirs, are dropped and change nothing."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    more = docs.selectExpr("*", "'x' AS score", "1 AS n_words", "'y' AS component_id", "2 AS contaminated", "'z' AS `odd name`", "3 AS doc")
+    for name, stage in P.STAGES[:-1]:
+        plain, wide = (P.written(stage(spark, d, sf), name) for d in (docs, more))
+        assert wide.columns == P.COLUMNS and sorted(map(str, wide.collect())) == sorted(map(str, plain.collect()))
+        docs, more = plain, plain.selectExpr("*", "'x' AS score", "1 AS n_lines", "'y' AS component_id", "2 AS n_hit", "3 AS doc")
