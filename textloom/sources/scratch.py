@@ -64,11 +64,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, broadcast if it has no more than `most` rows; counts it, so give it a written table."""
     return F.broadcast(df) if df.count() <= most else df
-
-
-def begin() -> None:
-    """Nothing to forget: a Scope owns its folders."""
-
-
-def release(spark: SparkSession, needed: DataFrame) -> None:
-    """Nothing to delete: a Scope owns its folders."""
