@@ -15,9 +15,12 @@ def strip(text: Column) -> Column:
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """Deal the rows out anew if a scan has fewer partitions than there are cores, as a small file has; larger inputs stay as they are."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    """Deal the rows out anew if they are too few bytes for a partition a core, as a small file is; larger inputs stay as they are. Sizes are those of the plan: nothing is run to know them."""
+    spark = docs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return docs.repartition(cores) if size < cores * most else docs
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -198,7 +198,9 @@ def repo_profiles(events: DataFrame) -> DataFrame:
 def user_summaries(events: DataFrame, newest: int = 50) -> DataFrame:
     """(author_id, total_scored, average_score, low_percent, domains) over the newest events of each author; domains maps to means, low is under 47."""
     order = [F.desc("ts"), F.desc("event_id")]
-    df = events.withColumn("rn", F.row_number().over(Window.partitionBy("author_id").orderBy(*order))).filter(F.col("rn") <= newest)
+    part = Window.partitionBy("author_id", F.pmod(F.xxhash64("event_id"), F.lit(64))).orderBy(*order)  # the newest of each part of an author before they meet
+    df = events.withColumn("rn", F.row_number().over(part)).filter(F.col("rn") <= newest)
+    df = df.withColumn("rn", F.row_number().over(Window.partitionBy("author_id").orderBy(*order))).filter(F.col("rn") <= newest)
     cells = df.groupBy("author_id", "domain").agg(F.count("*").alias("n"), F.sum("score").alias("sum"), F.count_if(F.col("score") < 47).alias("low"))
     pairs = F.sort_array(F.collect_list(F.struct("domain", rounded(F.col("sum") / F.col("n"), 1).alias("mean"))))
     return cells.groupBy("author_id").agg(
@@ -225,12 +227,14 @@ def owner_repo(url: Column) -> Column:
 
 
 def ingestion_stats(events: DataFrame, below: float) -> DataFrame:
-    """One row: total, slop_count, slop_rate, items_per_minute between the first and the last event, and counts by domain and source as maps in key order."""
-    counts = lambda c: events.groupBy(c).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(c, "n")))).alias(f"{c}_counts"))
-    span = (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 60e6
-    total = events.agg(F.count("*").alias("total"), F.count_if(F.col("score") < below).alias("slop_count"), F.greatest(span, F.lit(0.01)).alias("minutes"))
-    out = total.join(F.broadcast(counts("domain"))).join(F.broadcast(counts("repo_id")))  # one row each
-    return out.select("total", "slop_count", rounded(F.col("slop_count") / F.greatest("total", F.lit(1)), 3).alias("slop_rate"), rounded(F.col("total") / F.col("minutes"), 1).alias("items_per_minute"), "domain_counts", "repo_id_counts")
+    """(kind, key, n, slop_count, slop_rate, items_per_minute): one row for all events (kind total), with the rate between the first and the last of them, and one for each domain and repo_id; a null key is a key."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), c.cast("string").alias("key")) for k, c in (("total", F.lit("")), ("domain", F.col("domain")), ("repo_id", F.col("repo_id")))))
+    rows = events.select("ts", "score", F.explode(kinds).alias("k")).groupBy("k.kind", "k.key").agg(
+        F.count("*").alias("n"), F.count_if(F.col("score") < below).alias("slop"), F.min(F.col("ts").cast("timestamp")).alias("first"), F.max(F.col("ts").cast("timestamp")).alias("last")
+    )
+    minutes = F.greatest((F.unix_micros("last") - F.unix_micros("first")) / 60e6, F.lit(0.01))
+    rate = F.when(F.col("kind") == "total", rounded(F.col("n") / minutes, 1))
+    return rows.select("kind", "key", "n", F.col("slop").alias("slop_count"), rounded(F.col("slop") / F.col("n"), 3).alias("slop_rate"), rate.alias("items_per_minute"))
 
 
 def ticker_snapshot(events: DataFrame, seconds: int = 60) -> DataFrame:

@@ -55,15 +55,13 @@ def repo_leaderboard(spark, sf):
     return A.repo_leaderboard(score_events(spark, sf).withColumns({"url": url, "signals": signals}), org="org1")
 
 
-_MAPPED = lambda c: f"(SELECT string_agg(k || ':' || CAST(n AS VARCHAR), ',' ORDER BY k) FROM (SELECT {c} AS k, count(*) AS n FROM {EVENTS} GROUP BY 1))"
+_STATS = f"count(*) AS n, count(*) FILTER (WHERE score < 48) AS slop_count, {r4('count(*) FILTER (WHERE score < 48) / count(*)', 3)} AS slop_rate"
 
 
-@query(f"""SELECT count(*) AS total, count(*) FILTER (WHERE score < 48) AS slop_count, {r4('count(*) FILTER (WHERE score < 48) / greatest(count(*), 1)', 3)} AS slop_rate,
-{r4('count(*) / greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6, 0.01)', 1)} AS items_per_minute, {_MAPPED('domain')} AS domains, {_MAPPED('repo_id')} AS sources FROM {EVENTS}""")
+@query(f"""SELECT 'total' AS kind, '' AS key, {_STATS}, {r4('count(*) / greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6, 0.01)', 1)} AS items_per_minute FROM {EVENTS} HAVING count(*) > 0
+UNION ALL SELECT 'domain', domain, {_STATS}, NULL FROM {EVENTS} GROUP BY domain UNION ALL SELECT 'repo_id', repo_id, {_STATS}, NULL FROM {EVENTS} GROUP BY repo_id""")
 def ingestion_stats(spark, sf):
-    shown = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
-    out = A.ingestion_stats(score_events(spark, sf), 48.0)
-    return out.select("total", "slop_count", "slop_rate", "items_per_minute", shown("domain_counts").alias("domains"), shown("repo_id_counts").alias("sources"))
+    return A.ingestion_stats(score_events(spark, sf), 48.0)
 
 
 @query(f"""WITH b AS (SELECT domain, avg(score) AS usual FROM {EVENTS} GROUP BY 1), m AS (SELECT max(ts) AS now FROM {EVENTS}),

@@ -10,18 +10,21 @@ from textloom.operators import vector_index as V
 from textloom.plans.queries import SENTS, TOKS, query, r4
 from textloom.sources.readers import table
 
-_TEXTS = "(SELECT doc_id AS id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL)"
-# weights of the 5000 most frequent words and pairs of words, then the cosine of all pairs of texts
-_COSINES = f"""d AS (SELECT id, min(id) OVER (PARTITION BY text) AS rep, text FROM {_TEXTS}),
-w AS (SELECT id, rep, regexp_extract_all(strip_accents(lower(text)), '{W.WORD}') AS ws FROM d),
-t AS (SELECT id, rep, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w),
-f AS (SELECT id, rep, term, count(*) AS tf FROM t GROUP BY ALL),
-v AS (SELECT term, sum(tf) AS n, count(*) AS df FROM f GROUP BY term ORDER BY n DESC, term LIMIT {W.FEATURES}),
-x AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM d)) / (1 + df)) + 1) AS w FROM f JOIN v USING (term) WHERE id = rep),
-u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS u FROM x),
-s AS (SELECT a.id AS a, b.id AS b, sum(a.u * b.u) AS c FROM u AS a JOIN u AS b ON a.term = b.term AND a.id < b.id GROUP BY ALL),
+#: Ids of a batch: what one request would hold, so that pairs grow with the table and not with its square.
+BATCH = 500
+_TEXTS = f"(SELECT doc_id // {BATCH} AS batch, doc_id AS id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL)"
+# weights of the 5000 most frequent words and pairs of words of a batch, then the cosine of all pairs of its texts
+_COSINES = f"""d AS (SELECT batch, id, min(id) OVER (PARTITION BY batch, text) AS rep, text FROM {_TEXTS}),
+w AS (SELECT batch, id, rep, regexp_extract_all(strip_accents(lower(text)), '{W.WORD}') AS ws FROM d),
+t AS (SELECT batch, id, rep, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w),
+f AS (SELECT batch, id, rep, term, count(*) AS tf FROM t GROUP BY ALL),
+v AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY n DESC, term) AS rn FROM (SELECT batch, term, sum(tf) AS n, count(*) AS df FROM f GROUP BY batch, term)),
+size AS (SELECT batch, count(*) AS docs FROM d GROUP BY batch),
+x AS (SELECT f.batch, f.id, term, (1 + ln(tf)) * (ln((1 + docs) / (1 + df)) + 1) AS w FROM f JOIN v USING (batch, term) JOIN size USING (batch) WHERE id = rep AND rn <= {W.FEATURES}),
+u AS (SELECT batch, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS u FROM x),
+s AS (SELECT a.id AS a, b.id AS b, sum(a.u * b.u) AS c FROM u AS a JOIN u AS b ON a.batch = b.batch AND a.term = b.term AND a.id < b.id GROUP BY ALL),
 p AS (SELECT a, b, {r4('c', 9)} AS similarity FROM s WHERE {r4('c', 9)} >= {W.LEAST})"""
-# groups of documents: copies of a text are similar as well
+# groups of documents: copies of a text are similar as well; batches follow one another by id, and links stay in one
 _GROUPS = f"""{_COSINES},
 k AS (SELECT DISTINCT id FROM u), m AS (SELECT d.id, d.rep FROM d JOIN k ON k.id = d.rep),
 e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p UNION ALL SELECT id, id FROM k),
@@ -37,8 +40,8 @@ tf AS (SELECT z.leader, z.id AS doc_id, count(*) OVER (PARTITION BY z.leader) AS
 
 
 def _whole(spark, sf):
-    """All documents as one batch."""
-    return table(spark, sf, "documents").select(F.lit(0).alias("batch"), F.col("doc_id").alias("id"), "text")
+    """All documents in batches, with whole texts."""
+    return table(spark, sf, "documents").select(F.floor(F.col("doc_id") / BATCH).alias("batch"), F.col("doc_id").alias("id"), "text")
 
 
 @query(f"WITH {_COSINES} SELECT a, b, {r4('similarity', 6)} AS similarity FROM p")
@@ -52,9 +55,9 @@ def tfidf_clusters(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {_GROUPS},
-n AS (SELECT id, array_to_string(list_transform(({SENTS})[1:8], lambda x: least(20, len({TOKS.format('x')}))), ',') AS shape, array_to_string(({TOKS.format('text')})[1:5], ' ') AS opening FROM {_TEXTS}),
-b AS (SELECT 'structural_template' AS type, min(id) OVER k AS leader, id AS doc_id, shape AS detail, count(*) OVER k AS size FROM n WINDOW k AS (PARTITION BY shape)
-  UNION ALL SELECT 'repeated_opening', min(id) OVER k, id, opening, count(*) OVER k FROM n WHERE opening <> '' WINDOW k AS (PARTITION BY opening))
+n AS (SELECT batch, id, array_to_string(list_transform(({SENTS})[1:8], lambda x: least(20, len({TOKS.format('x')}))), ',') AS shape, array_to_string(({TOKS.format('text')})[1:5], ' ') AS opening FROM {_TEXTS}),
+b AS (SELECT 'structural_template' AS type, min(id) OVER k AS leader, id AS doc_id, shape AS detail, count(*) OVER k AS size FROM n WINDOW k AS (PARTITION BY batch, shape)
+  UNION ALL SELECT 'repeated_opening', min(id) OVER k, id, opening, count(*) OVER k FROM n WHERE opening <> '' WINDOW k AS (PARTITION BY batch, opening))
 SELECT type, leader, doc_id, detail FROM b WHERE size > 1 UNION ALL SELECT 'tfidf_similarity', leader, doc_id, format('{{:.3f}}', similarity_score) FROM tf""")
 def batch_report(spark, sf):
     return W.batch_report(_whole(spark, sf)).select("type", "leader", F.col("id").alias("doc_id"), "detail")
