@@ -70,8 +70,9 @@ def batch_texts(seed):
     return {i * 3: t for i, t in enumerate(rng.permutation(np.array(texts, dtype=object)).tolist())}
 
 
-@pytest.mark.parametrize("features", [5000, 40])
-def test_tfidf_against_all_pairs(spark, features):
+@pytest.mark.parametrize("features,whole", [(5000, 0), (40, 0), (40, 2000)])
+def test_tfidf_against_all_pairs(spark, monkeypatch, features, whole):
+    monkeypatch.setattr(W, "WHOLE_BATCH", whole)
     batches = {b: batch_texts(b) for b in (1, 2)}
     rows = [(b, i, t, "x") for b, texts in batches.items() for i, t in texts.items()]
     docs = spark.createDataFrame(rows + rows[:3] + [(1, None, "no id", "x")], "batch int, id long, text string, rep string")
