@@ -332,7 +332,8 @@ def vector_topk(spark, sf):
     return V.search(v, v.filter("vec_id % 20 = 0"), 15)
 
 
-@query()
+@query("""WITH s AS (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 4), c AS (SELECT list(x ORDER BY i) AS c FROM (SELECT i, avg(CAST(x AS DOUBLE)) AS x FROM s GROUP BY i))
+SELECT vec_id, floor(greatest(0e0, least(1e0, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), c))) * 1e5 + 0.5) / 1e5 AS uniqueness FROM embeddings, c""")
 def centroid_uniqueness(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return X.centroid_uniqueness(v, v.filter("vec_id < 4"))
