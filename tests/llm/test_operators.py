@@ -1,6 +1,7 @@
 """The numbered operators against brute force, on a small table with every awkward case."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -70,6 +71,24 @@ def test_substring_dedup(docs, nothing):
     assert substring_dedup.dedup_substrings(nothing).count() == 0
 
 
+@pytest.mark.parametrize("hot_share", [1.0, 1e-9])
+def test_substring_dedup_of_phrases_repeated_in_one_document(spark, hot_share):
+    """A document of one phrase over and over, rows without an id that hold it too, and branches of it."""
+    phrase = [f"w{i}" for i in range(17)]
+    texts = [(5, phrase * 40 + ["end"]), (7, ["x", *phrase * 3]), (None, phrase * 2), (None, ["y", *phrase, "z"]), (None, [f"v{i}" for i in range(20)] * 3), (9, phrase[3:] + phrase[:9] + ["q"]), (5, ["other", *phrase])]
+    first = {}
+    for k, w in texts:
+        for i in range(len(w) - 12):
+            g = tuple(w[i : i + 13])
+            first[g] = min(first.get(g, 1 << 63), 1 << 63 if k is None else k)
+    want = []
+    for k, w in texts:
+        gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < (1 << 63 if k is None else k) for j in range(i, i + 13)}
+        want.append((k, len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts], "doc_id long, text string")
+    same(substring_dedup.dedup_substrings(df, with_text=False, hot_share=hot_share, sample=1.0).collect(), want)
+
+
 def test_line_dedup(docs, nothing):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda x: x.strip("\x20\x09\x0a\x0b\x0c\x0d").translate(lower)
@@ -432,35 +451,56 @@ def test_url_filter_of_long_and_equal_urls(spark):
     assert len(got) == 5 and len({r["verdict"] for r in got if r["host"] == "x.net" and len(r["path"]) < 9}) == 1
 
 
-def test_url_models_against_plain_counts(spark):
-    """Witten-Bell by the book on a handful of URLs."""
-    import math
-
-    rules = [("allow", "good", "/"), ("block", "bad", "/")]
-    urls = ["http://good/ab", "http://good/abc", "http://bad/xy", "http://bad/xyx", "http://new/aby"]
-    order = 2
-    seen = {"allow": Counter(), "block": Counter()}
-    shown = lambda u: u.split("://")[1]
-    pad = lambda t: "\x02" * order + t + "\x03"
-    for u in urls[:4]:
-        t = pad(shown(u))
+def witten_bell(urls, order):
+    """The probability of a character after a context, by the book, from the texts of one class."""
+    seen = Counter()
+    for t in urls:
+        t = "\x02" * order + t + "\x03"
         for i in range(order, len(t)):
             for k in range(order + 1):
-                seen["allow" if "good" in u else "block"][t[i - k : i + 1]] += 1
+                seen[t[i - k : i + 1]] += 1
 
-    def p(counts, context, c):
-        low = p(counts, context[1:], c) if context else 1 / url_filter.SYMBOLS
-        if not context:
-            low = 1 / url_filter.SYMBOLS
-        after = {g[-1]: n for g, n in counts.items() if len(g) == len(context) + 1 and g.startswith(context)}
+    def p(context, c):
+        low = p(context[1:], c) if context else 1 / url_filter.SYMBOLS
+        after = {g[-1]: n for g, n in seen.items() if len(g) == len(context) + 1 and g.startswith(context)}
         n, t = sum(after.values()), len(after)
         return (after.get(c, 0) + t * low) / (n + t) if n else low
 
-    want = []
-    for u in urls:
-        t = pad(shown(u))
-        ratios = [math.log(p(seen["allow"], t[i - order : i], t[i])) - math.log(p(seen["block"], t[i - order : i], t[i])) for i in range(order, len(t))]
-        want.append(sum(ratios) / len(ratios))
-    got = {r["page_id"]: r["score"] for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules, order=order).collect()}
-    # the base level counts single characters as well, so only the order of scores is fixed here
-    assert sorted(got, key=got.get) == sorted(range(len(want)), key=want.__getitem__)
+    return p
+
+
+def url_score(text, allow, block, order):
+    t = "\x02" * order + text + "\x03"
+    ratios = [math.log(allow(t[i - order : i], t[i])) - math.log(block(t[i - order : i], t[i])) for i in range(order, len(t))]
+    return sum(ratios) / len(ratios)
+
+
+@pytest.mark.parametrize("many", [6, 1])
+def test_url_models_and_threshold_against_plain_counts(spark, many):
+    """Scores of all URLs, and the verdicts by a threshold from folds that the other fold's models score; 0 where a fold lacks a class."""
+    rules, order = [("allow", "good", "/"), ("block", "bad", "/")], 2
+    texts = [f"{host}/{a}?{b}" for host, a, b in [("good", "ab" * k, f"q={k}") for k in range(many)] + [("bad", "xy" * k, f"p#{k}") for k in range(many)]]
+    texts += ["new/ab?q=1", "new/xy?p#1", "new/xy?p#2", "new/", "new/axby", "ne\u00e9/ab"]
+    urls = ["http://" + t for t in texts] + ["good/ab", ""]
+    texts += ["good/ab", ""]
+    kind = ["allow"] * many + ["block"] * many + [None] * 8
+
+    def fold(t, u):
+        host, path = url_brute(u)[:2]
+        return zlib.crc32(hashlib.md5(f"{len(host.encode())}\n{len(path.encode())}\n{t}".encode()).hexdigest().encode()) % 2
+
+    folds = [fold(t, u) for t, u in zip(texts, urls)]
+    of = lambda v, out=None: witten_bell([t for t, k, f in zip(texts, kind, folds) if k == v and f != out], order)
+    allow, block = of("allow"), of("block")
+    want = [url_score(t, allow, block, order) for t in texts]
+    cut = 0.0
+    if len({(k, f) for k, f in zip(kind, folds) if k}) == 4:
+        models = {f: (of("allow", f), of("block", f)) for f in (0, 1)}
+        held = {v: [url_score(t, *models[f], order) for t, k, f in zip(texts, kind, folds) if k == v] for v in ("allow", "block")}
+        (a, sa), (b, sb) = ((np.mean(held[v]), np.std(held[v])) for v in ("allow", "block"))
+        cut = (a * sb + b * sa) / (sa + sb)
+    else:
+        assert many == 1
+    got = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules, order=order).collect()}
+    assert [got[i]["score"] for i in range(len(urls))] == pytest.approx(want)
+    assert [got[i]["verdict"] for i in range(len(urls))] == [k or ("allow" if w >= cut else "block") for k, w in zip(kind, want)]

@@ -1,10 +1,14 @@
 """URL filter by the ratio of two character language models (operator 9), DataFrame operations only.
 
 Rules decide the URLs they fit and label the training data: accepted and rejected URLs. For either class all
-characters of host and path of all distinct labelled URLs (without query string and fragment) are counted after contexts of every length up to `order`; a character's
-probability interpolates from the longest context down (Witten-Bell: a context with many different followers
-trusts the shorter one more). A URL's score is the mean over its characters of log p(accepted) - log p(rejected);
-the threshold lies between the means of the two classes, nearer to the one that scatters less.
+characters of all distinct labelled URLs, query string and fragment included, are counted after contexts of every
+length up to `order`; a character's probability interpolates from the longest context down (Witten-Bell: a context
+with many different followers trusts the shorter one more). A URL's score is the mean over its characters of
+log p(accepted) - log p(rejected).
+
+The threshold is calibrated on URLs that the models have not seen: labelled URLs are dealt to two folds, each fold is
+scored by models of the other, and the threshold lies between the means of the two classes, nearer to the one that
+scatters less. Where a fold lacks one of the classes it is 0, where both are equally likely.
 
 The models are tables. Each distinct gram is scored once at each length, from the score of the next shorter one, and
 URLs join the scores of the longest.
@@ -82,34 +86,57 @@ def gram_scores(labelled: DataFrame, grams: DataFrame, order: int) -> DataFrame:
     return shorter.select("gram", (F.log("p_allow") - F.log("p_block")).alias("ratio"))
 
 
+def mean_scores(grams: DataFrame, labelled: DataFrame, order: int, name: str) -> DataFrame:
+    """(key, score): the mean ratio of the grams (key, gram) of each URL under models of the labelled URLs."""
+    scores = written(gram_scores(labelled, written(grams.select("gram").distinct(), f"{name}_grams"), order), f"{name}_ratios")
+    return grams.join(scores, "gram").groupBy("key").agg(F.avg("ratio").alias("score"))
+
+
+def threshold(labelled: DataFrame, grams: DataFrame, order: int) -> float | None:
+    """The calibrated score that parts accepted from rejected URLs; None where a class has no URLs at all."""
+    there = {(r["verdict"], r["fold"]) for r in labelled.select("verdict", "fold").distinct().collect()}  # four at most
+    if len({v for v, _ in there}) < 2:
+        return None
+    if len(there) < 4:
+        return 0.0
+    held_out = None
+    for fold in (0, 1):
+        own = labelled.filter(F.col("fold") == fold).select("key", "verdict")
+        scored = mean_scores(grams.filter(F.col("verdict").isNotNull() & (F.col("fold") == fold)), labelled.filter(F.col("fold") != fold), order, f"fold_{fold}").join(own, "key")
+        held_out = scored if held_out is None else held_out.unionByName(scored)
+    a, b = (r for r in held_out.groupBy("verdict").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).orderBy("verdict").collect())
+    scatter = a["s"] + b["s"]
+    return (a["m"] * b["s"] + b["m"] * a["s"]) / scatter if scatter else (a["m"] + b["m"]) / 2
+
+
 def filter_urls(pages: DataFrame, *, rules=RULES, order: int = 4) -> DataFrame:
     """Returns page_id, host, path, rule, verdict, score; one row per row of pages (page_id, url).
 
     A URL that no rule fits is blocked if its score is below the threshold. Without accepted or without
-    rejected URLs to learn from, such a URL is allowed. A null or odd URL has empty host and path. Score: null where
-    nothing was learned. A score equal to the threshold is allowed. Repeated rows are each returned, and a distinct host and path counts
-    once in the models. URLs of any length are read whole; other columns are ignored.
+    rejected URLs to learn from, such a URL is allowed. A null or odd URL has empty host and path; its score is that of
+    the whole string, null as empty. Score: null where nothing was learned. A score equal to the threshold is allowed.
+    Models read the host in lower case and all that follows, so URLs that differ after ? or # differ in score.
+    Repeated rows are each returned, and a distinct URL (told apart by 128 bits) counts once in the models. URLs of any
+    length are read whole; other columns are ignored.
     """
     host, path = url_parts("url")
-    own = written(pages.select("page_id", host.alias("host"), path.alias("path")), "urls")
+    own = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    at = F.locate("://", F.col("url"))
+    rest = F.substring(F.col("url"), at + 3 + F.char_length("host"), F.char_length("url"))
+    own = own.withColumn("shown", F.coalesce(F.when(at > 0, F.concat("host", rest)).otherwise(F.col("url")), F.lit("")))
+    own = own.withColumn("key", F.md5(F.concat_ws("\n", F.octet_length("host"), F.octet_length("path"), "shown")))
+    own = written(own.drop("url"), "urls")
     rule, verdict = fitting_rule(rules)
-    urls = own.groupBy("host", "path").agg(F.count("*").alias("pages")).withColumns({"rule": rule, "verdict": verdict, "shown": F.concat("host", "path")})
+    urls = own.groupBy("key").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("shown").alias("shown"))
+    urls = urls.withColumns({"rule": rule, "verdict": verdict, "fold": F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(2))}).drop("host", "path")
     urls = written(urls, "distinct_urls")
     labelled = urls.filter(F.col("verdict").isNotNull())
-    all_grams = urls.select("host", "path", "verdict", F.explode(_grams(F.col("shown"), order + 1)).alias("gram"))
-    grams = written(all_grams.select("gram").distinct(), "distinct_grams")
-    scores = written(gram_scores(labelled, grams, order), "scores")
-    scored = written(all_grams.join(scores, "gram").groupBy("host", "path").agg(F.avg("ratio").alias("score")), "scored")
-    means = {r["verdict"]: r for r in scored.join(labelled, ["host", "path"]).groupBy("verdict").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).collect()}
-    if {"allow", "block"} <= means.keys():
-        a, b = means["allow"], means["block"]
-        scatter = a["s"] + b["s"]
-        cut = (a["m"] * b["s"] + b["m"] * a["s"]) / scatter if scatter else (a["m"] + b["m"]) / 2
-        judged = F.when(F.col("score") >= cut, "allow").otherwise("block")
-    else:
-        judged = F.lit("allow")
-    verdicts = urls.join(scored, ["host", "path"]).select("host", "path", "rule", F.coalesce("verdict", judged).alias("verdict"), "score")
-    return own.join(verdicts, ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", "score")
+    grams = urls.select("key", "verdict", "fold", F.explode(_grams(F.col("shown"), order + 1)).alias("gram"))
+    scored = mean_scores(grams, labelled, order, "all")
+    cut = threshold(labelled, grams, order)
+    judged = F.lit("allow") if cut is None else F.when(F.col("score") >= cut, "allow").otherwise("block")
+    verdicts = urls.join(scored, "key").select("key", "rule", F.coalesce("verdict", judged).alias("verdict"), "score")
+    return own.join(verdicts, "key").select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
