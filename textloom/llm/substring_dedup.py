@@ -12,7 +12,8 @@ Repeated paths that follow each other in a document and in their source alike ar
 span, and each such span is verified at its source coordinates: the words there have to be the document's, by a
 128-bit digest of the words themselves. Paths and windows are found by hashes of 64 and 128 bits before that.
 
-Shuffles: one row per path, keyed by minimizer. Minimizers that are frequent in a sample of documents are dealt
+Shuffles: one row per path and document, with all its places there, keyed by minimizer; so a phrase that one document
+repeats is one row. Minimizers that are frequent in a sample of documents are dealt
 to many groups each; a group drops what repeats inside it, and only its first holders meet those of the
 others. So a passage that a third of all documents share is never gathered in one task. The sample decides only
 how a key is dealt, never a result.
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from textloom.llm.common import doc_key, read_table, versions, written
 from textloom.llm.wordhash import BASE, BASE2, chunks, grams, range_hashes, window_argmin
 
-PATHS = "doc long, version long, start int, n int, minimizer long, path long"
+#: start is the first place of a path in its document, more has the others or is null.
+PATHS = "doc long, version long, start int, more array<int>, n int, minimizer long, path long"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -39,6 +41,14 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+def _others(place: np.ndarray, lead: np.ndarray) -> pa.Array:
+    """For each run of places that begins at a lead: the places after the first, or null."""
+    size = np.diff(np.append(lead, len(place))) - 1
+    rest = np.delete(place, lead)
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rest, pa.int32()), mask=pa.array(size == 0))
+
+
 def _paths(window: int, core: int):
     w = window - core + 1
 
@@ -59,17 +69,25 @@ def _paths(window: int, core: int):
                 first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                 count = np.diff(np.append(first, len(starts)))
                 start = starts[first]
-                row = np.asarray(c.rows)[owner[start]]
+                path = range_hashes(c.hashes, start, start + count + window - 1)
+                # equal paths of a document together, in order of place; documents of a chunk are in order already
+                order = np.argsort(path, kind="stable")
+                start, count, path, least = start[order], count[order], path[order], g[at[first]][order]
+                local = owner[start]
+                lead = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (local[1:] != local[:-1])]))
+                place = (start - c.bounds[local]).astype(np.int32)
+                row = np.asarray(c.rows)[local[lead]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(doc[row]),
                         pa.array(version[row]),
-                        pa.array((start - c.bounds[owner[start]]).astype(np.int32)),
-                        pa.array(count.astype(np.int32)),
-                        pa.array(g[at[first]].view(np.int64)),
-                        pa.array(range_hashes(c.hashes, start, start + count + window - 1).view(np.int64)),
+                        pa.array(place[lead]),
+                        _others(place, lead),
+                        pa.array(count[lead].astype(np.int32)),
+                        pa.array(least[lead].view(np.int64)),
+                        pa.array(path[lead].view(np.int64)),
                     ],
-                    names=["doc", "version", "start", "n", "minimizer", "path"],
+                    names=["doc", "version", "start", "more", "n", "minimizer", "path"],
                 )
 
     return run
@@ -192,20 +210,21 @@ def dedup_substrings(
 
     hot = _frequent(base, to_paths, sample, hot_share)
     paths = base.mapInArrow(to_paths, PATHS).join(F.broadcast(hot), "minimizer", "left").withColumn("hot", F.col("hot").isNotNull())
-    paths = paths.withColumn("group", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(deal)) + 1).otherwise(0))
+    paths = paths.withColumn("group", F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "version"), F.lit(deal)) + 1).otherwise(0))
     by_minimizer, by_path = (Window.partitionBy("minimizer", "group", *k) for k in ((), ("path",)))
     source = F.struct("doc", "version", "start")
     seen = paths.withColumn("branches", F.min("path").over(by_minimizer) != F.max("path").over(by_minimizer)).withColumn("first", F.min(source).over(by_path))
     found = seen.filter((F.col("first.doc") < F.col("doc")) | F.col("branches") | F.col("hot"))
-    found = written(found.select("doc", "version", "start", "n", "first", "hot", *(F.when(F.col("hot"), F.col(c)).alias(c) for c in ("minimizer", "path"))), "paths")
+    found = written(found.select("doc", "version", "start", "more", "n", "first", "hot", *(F.when(F.col("hot"), F.col(c)).alias(c) for c in ("minimizer", "path"))), "paths")
 
-    columns = ["doc", "version", "start", "n", "first"]
+    places = F.explode(F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<int>")))).alias("start")
+    columns = ["doc", "version", places, "n", "first"]
     holders = found.filter("first.doc = doc")
-    # the first holders of each group of a frequent minimizer, once a document: at most `deal` rows for a path
+    # the first holders of each group of a frequent minimizer, once a doc_id: at most `deal` rows for a path
     often = holders.filter("hot").drop("first")
-    once = often.groupBy("minimizer", "path", "doc", "version").agg(F.min("start").alias("start"))
-    decided = once.withColumn("first", F.min(source).over(Window.partitionBy("minimizer", "path"))).drop("start")
-    across = often.join(decided, ["minimizer", "path", "doc", "version"])
+    once = often.groupBy("minimizer", "path", "doc").agg(F.min(F.struct("version", "start")).alias("at"))
+    decided = once.select("minimizer", "path", "doc", F.min(F.struct("doc", "at.version", "at.start")).over(Window.partitionBy("minimizer", "path")).alias("first"))
+    across = often.join(decided, ["minimizer", "path", "doc"])
     lost = found.filter("first.doc < doc").select(*columns).unionByName(across.filter("first.doc < doc").select(*columns))
     alone = holders.filter("NOT hot").select(*columns).unionByName(across.filter("first.doc = doc").select(*columns))
 
