@@ -79,9 +79,9 @@ def live_history_summary(spark, sf):
 
 
 @query(f"""SELECT author_id AS appeal_id, count(*) FILTER (WHERE score >= 50) AS upvotes, count(*) FILTER (WHERE score < 50) AS downvotes,
-CASE WHEN count(*) < 5 THEN 'pending' WHEN count(*) FILTER (WHERE score >= 50) > count(*) FILTER (WHERE score < 50) THEN 'community_verified' ELSE 'community_disputed' END AS status FROM {EVENTS} WHERE event_id % 40 = 0 GROUP BY 1""")
+CASE WHEN count(*) < 5 THEN 'pending' WHEN count(*) FILTER (WHERE score >= 50) > count(*) FILTER (WHERE score < 50) THEN 'community_verified' ELSE 'community_disputed' END AS status FROM {EVENTS} GROUP BY 1""")
 def vote_tally(spark, sf):
-    e = score_events(spark, sf).filter("event_id % 40 = 0")
+    e = score_events(spark, sf)
     return A.tally(e.select(F.col("author_id").alias("appeal_id"), F.when(F.col("score") >= 50, "up").otherwise("down").alias("vote")))
 
 
@@ -152,12 +152,12 @@ _N_WORDS = r"len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')
 @query(f"""WITH c AS (SELECT conv_id AS id, {_list(_KINDS)}[conv_id % {len(_KINDS)} + 1] AS subset, role, turn, text FROM conversations),
 r AS (SELECT id, subset, CASE role WHEN 'user' THEN 'reviewed' ELSE 'slop' END AS label, row_number() OVER (PARTITION BY id, role ORDER BY turn) - 1 AS pos, text FROM c WHERE role IN ('user', 'assistant')),
 k AS (SELECT *, row_number() OVER (PARTITION BY subset, label ORDER BY id, pos) AS rn FROM r WHERE {_N_WORDS} >= 30)
-SELECT id, CAST(pos AS INTEGER) AS pos, label, left(text, 1500) AS text, CASE subset WHEN 'reddit' THEN 'social_news' WHEN 'medicine' THEN 'academia' WHEN 'closed_qa' THEN 'communications' ELSE 'content' END AS domain, 'hc3_' || subset AS source FROM k WHERE rn <= 20""")
+SELECT id, CAST(pos AS INTEGER) AS pos, label, left(text, 1500) AS text, CASE subset WHEN 'reddit' THEN 'social_news' WHEN 'medicine' THEN 'academia' WHEN 'closed_qa' THEN 'communications' ELSE 'content' END AS domain, 'hc3_' || subset AS source FROM k WHERE rn <= 2000""")
 def answer_samples(spark, sf):
     said = lambda role: F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"])
     rows = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("id")).agg(said("user").alias("human_answers"), said("assistant").alias("chatgpt_answers"))
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("id") % len(_KINDS) + 1).cast("int"))
-    return D.answer_samples(rows.withColumn("subset", kind), most=20)
+    return D.answer_samples(rows.withColumn("subset", kind), most=2000)
 
 
 _MODELS = ["human", "gpt-4", "Claude", "unknown", "reviewed"]
@@ -168,13 +168,13 @@ _FIELDS = ["news", "abstracts", "Reviews", "other"]
   lower({_list(_MODELS)}[doc_id % {len(_MODELS)} + 1]) AS raw, lower({_list(_FIELDS)}[doc_id % {len(_FIELDS)} + 1]) AS kind FROM documents WHERE doc_id IS NOT NULL),
 f AS (SELECT *, row_number() OVER (PARTITION BY left(text, 80) ORDER BY id) AS rn FROM d WHERE {_N_WORDS} >= 20),
 l AS (SELECT *, CASE WHEN raw IN ('human', 'reviewed') THEN 'reviewed' WHEN raw IN ('gpt-4', 'claude') THEN 'slop' END AS label FROM f WHERE rn = 1)
-SELECT id, left(text, 1500) AS text, label, CASE kind WHEN 'abstracts' THEN 'academia' WHEN 'reviews' THEN 'marketplace' ELSE 'content' END AS domain, 'raid_' || kind AS source FROM l WHERE label IS NOT NULL ORDER BY id LIMIT 300""")
+SELECT id, left(text, 1500) AS text, label, CASE kind WHEN 'abstracts' THEN 'academia' WHEN 'reviews' THEN 'marketplace' ELSE 'content' END AS domain, 'raid_' || kind AS source FROM l WHERE label IS NOT NULL ORDER BY id LIMIT 3000""")
 def generation_samples(spark, sf):
     d = table(spark, sf, "documents").filter("doc_id IS NOT NULL")
     pick = lambda v: F.element_at(F.array(*map(F.lit, v)), (F.col("doc_id") % len(v) + 1).cast("int"))
     generation = F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text"))
     rows = d.select(F.col("doc_id").alias("id"), generation.alias("generation"), "text", pick(_MODELS).alias("label"), pick(_FIELDS).alias("domain"))
-    return D.generation_samples(rows, most=300)
+    return D.generation_samples(rows, most=3000)
 
 
 @query("""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL), b AS (SELECT * FROM d WHERE id % 3 = 0), m AS (SELECT * FROM d WHERE id % 3 <> 0),
