@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from textloom.functions import text as T
 from textloom.operators import scoring
 
 
@@ -23,3 +26,9 @@ def test_empty_and_short_texts(spark):
 def test_long_and_foreign_texts(spark):
     a, b = scores(spark, "The same sentence again. " * 500, "Это текст без латинских букв. Он тоже должен пройти.")
     assert 0 <= a["score"] <= 100 and 0 <= b["score"] <= 100
+
+
+def test_sentences_and_paragraphs_keep_their_digits(spark):
+    df = spark.createDataFrame([("0 a. 11 b 1. 2 c.  3 d. x", "0 a\n\n 1 b 1 \n\n2")], "text string, paras string")
+    s, p = df.select(T.sentences(F.col("text")), T.paragraphs(F.col("paras"))).first()
+    assert s == ["0 a.", "11 b 1.", "2 c.", "3 d.", "x"] and p == ["0 a", "1 b 1", "2"]
