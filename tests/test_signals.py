@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import scoring
+from textloom.operators import domains, scoring
 
 
 def scores(spark, *texts):
@@ -32,3 +32,9 @@ def test_sentences_and_paragraphs_keep_their_digits(spark):
     df = spark.createDataFrame([("0 a. 11 b 1. 2 c.  3 d. x", "0 a\n\n 1 b 1 \n\n2")], "text string, paras string")
     s, p = df.select(T.sentences(F.col("text")), T.paragraphs(F.col("paras"))).first()
     assert s == ["0 a.", "11 b 1.", "2 c.", "3 d.", "x"] and p == ["0 a", "1 b 1", "2"]
+
+
+def test_own_names_end_at_letters_beyond_ascii(spark):
+    df = spark.createDataFrame([(1, "content", "Some words. Teachge Re\u00eaan de."), (2, "content", "Some words. teachge re de.")], "doc_id long, domain string, text string")
+    rows = domains.domain_signals(df, ["doc_id"]).filter("signal = 'originality_proxy'").orderBy("doc_id").collect()
+    assert [r.score for r in rows] == [0.6, 0.4]
