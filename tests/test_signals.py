@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
+from textloom.functions import lexicons
 from textloom.functions import text as T
-from textloom.operators import domains, scoring
+from textloom.operators import domains, scoring, signals
 
 
 def scores(spark, *texts):
@@ -38,3 +39,12 @@ def test_own_names_end_at_letters_beyond_ascii(spark):
     df = spark.createDataFrame([(1, "content", "Some words. Teachge Re\u00eaan de."), (2, "content", "Some words. teachge re de.")], "doc_id long, domain string, text string")
     rows = domains.domain_signals(df, ["doc_id"]).filter("signal = 'originality_proxy'").orderBy("doc_id").collect()
     assert [r.score for r in rows] == [0.6, 0.4]
+
+
+def test_evidence_density_reads_each_sentence_once(spark):
+    texts = ["Robust and AI-powered. It took 20 ms.", "A scalable cache saved 30 hosts. A ROBUST one.", "The load test showed it. It was fine.", "One."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = signals.evidence_density(T.sentences(F.col("text"))).alias("score")
+    assert [r.score for r in df.select("doc_id", score).orderBy("doc_id").collect()] == [0.15, 0.55, 0.63, 0.5]
+    plan = df.select(score)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains") + plan.count("contains(") <= 2 * len(lexicons.JARGON)
