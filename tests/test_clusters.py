@@ -179,3 +179,15 @@ def test_search_in_blocks(spark, monkeypatch):
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert V.neighbours(none).collect() == [] and V.vector_clusters(V.neighbours(none)).collect() == [] and V.search(none, none, 3).collect() == []
+
+
+@pytest.mark.parametrize("at_once", [10**6, 0])
+def test_a_leader_that_has_only_copies_after_it(spark, monkeypatch, at_once):
+    monkeypatch.setattr(X, "SETTLE_PAIRS", at_once)
+    one, other = (" ".join(f"{s}word{i}" for i in range(12)) for s in "ab")
+    texts = [(0, 1, one), (0, 2, f"{one} {other}"), (0, 3, other), (0, 4, other), (0, 5, f"{one} {other}")]
+    got = defaultdict(list)
+    for r in W.tfidf_clusters(spark.createDataFrame(texts, "batch int, id long, text string")).collect():
+        got[r["leader"]].append((r["id"], r["size"]))
+    # 2 is similar to both; 3 leads, as only 1 leads before it, and its group are a copy and a copy of 2
+    assert {k: sorted(v) for k, v in got.items()} == {1: [(1, 3), (2, 3), (5, 3)], 3: [(3, 3), (4, 3), (5, 3)]}
