@@ -18,7 +18,10 @@ join on (length, rank), so each document row is shuffled once, by the range sort
 from __future__ import annotations
 
 import gc
+import json
 import os
+import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -32,6 +35,10 @@ from textloom.llm.common import read_table, text_bytes, written
 #: Encodings of words that a Python worker remembers from one task to the next: that many of words met once lately, as many of
 #: those before them, and twice as many of words met again.
 REMEMBERED = 200_000
+#: How a tokenizer parts words whose words of printable ASCII and Latin-1 letters (LATIN) are parted by LATIN_PARTS here, and lower-cased before.
+KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+LATIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: Words that a task codes together; a table of their own for each such lot stays in the processor's cache.
 CHUNK_WORDS = 100_000
 
@@ -60,6 +67,8 @@ class WordCoder:
     Words of ASCII letters do without it if the model marks the ends of words and a lot has as many ends as words. Words
     with the control character or with the string of a special token, or all if there is no such id, go alone. Most words
     are rare, so what is remembered of a word depends on whether it was met again.
+
+    Where the tokenizer parts words by KNOWN_SPLIT, a word of LATIN is the ids of its parts in turn, and the model codes each part once.
     """
 
     def __init__(self, path: str):
@@ -69,6 +78,10 @@ class WordCoder:
         self.coder = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.coder.get_added_tokens_decoder().values()] + [b"\x01"]
         self.often, self.young, self.old = {}, {}, {}
+        self.parts: dict[str, bytes] = {}
+        self.by_parts = self._parts_known()
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that the byte level shows as themselves; it numbers the others
+        self.byte_level = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
         one = lambda text: self.coder.encode(text, add_special_tokens=False).ids
         self.mark, ids = "\x01", one("\x01")
         self.mark_id = ids[0] if len(ids) == 1 and one("a \x01 b") == [*one("a"), *ids, *one("b")] else None
@@ -77,6 +90,31 @@ class WordCoder:
         if suffix:
             self.ends[[i for token, i in self.coder.get_vocab().items() if token.endswith(suffix)]] = True
 
+    def _parts_known(self) -> bool:
+        about = json.loads(self.coder.to_str())
+        before = (about["normalizer"] or {}).get("normalizers", [])
+        splits = (about["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if [x["type"] for x in before] != ["NFC", "Replace", "Lowercase"] or before[1]["pattern"] != {"Regex": r"\s+"} or before[1]["content"] != " " or [x["type"] for x in splits] != ["Split", "ByteLevel"]:
+            return False
+        split, level = splits
+        whole = split["pattern"] == {"Regex": KNOWN_SPLIT} and split["behavior"] == "Removed" and split["invert"] and not level["add_prefix_space"] and not level["use_regex"]
+        return whole and about["post_processor"] is None and about["model"]["type"] == "BPE" and not about["model"]["dropout"]
+
+    def _code_parts(self, words: list[bytes]):
+        """Words of LATIN without the string of a special token: what the model makes of each part."""
+        split, known, tokenize, pack = LATIN_PARTS.findall, self.parts, self.coder.model.tokenize, struct.pack
+        if len(known) > 2 * REMEMBERED:
+            known.clear()
+        for w in words:
+            code = []
+            for part in split(w.decode().lower()):
+                found = known.get(part)
+                if found is None:
+                    ids = [x.id for x in tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.byte_level))]
+                    found = known[part] = pack(f"<{len(ids)}I", *ids)
+                code.append(found)
+            yield w, code[0] if len(code) == 1 else b"".join(code)
+
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """A table of these words."""
         table = dict(zip(words, map(self.often.get, words)))
@@ -98,6 +136,11 @@ class WordCoder:
         return table
 
     def _code(self, words: list[bytes], join: int = 30):
+        if self.by_parts:
+            fits, whole = LATIN.fullmatch, []
+            latin = [w for w in words if (fits(w) and not (b"|" in w and any(x in w for x in self.special))) or whole.append(w)]
+            yield from self._code_parts(latin)
+            words = whole
         plain = [w for w in words if w.isalpha() and len(w) < 64] if self.ends.any() else []
         groups = [plain[i : i + join] for i in range(0, len(plain), join)]
         left = [w for w in words if not (w.isalpha() and len(w) < 64)] if plain else words
