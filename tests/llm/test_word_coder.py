@@ -28,7 +28,7 @@ def test_words_have_the_ids_of_the_tokenizer():
     letters = "abcXYZ019'.,|<>-éÉßöÀÿ×÷²ª"
     words = {w.encode() for w in WORDS} | {"".join(rng.choices(letters, k=rng.randint(1, 9))).encode() for _ in range(5000)}
     coder = P.WordCoder(PATH)
-    got = coder.learn(words)
+    got = coder.learn([list(words)])
     for w in words:
         assert got[w] == np.array(coder.coder.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes(), w
 
@@ -36,5 +36,15 @@ def test_words_have_the_ids_of_the_tokenizer():
 def test_latin_words_are_coded_by_their_parts_alone():
     coder = P.WordCoder(PATH)
     coder.coder = spy = Spy(coder.coder)
-    coder.learn({w.encode() for w in ("plain", "Plain.", "plain,", "naïve", "l'Été;", "x2")})
+    coder.learn([[w.encode() for w in ("plain", "Plain.", "plain,")], ["naïve".encode(), "l'Été;".encode(), b"x2"]])
     assert not spy.asked and {"plain", ".", ",", "naïve", "été"} <= set(coder.parts)
+
+
+def test_words_outlive_a_generation_if_they_are_met_again(monkeypatch):
+    monkeypatch.setattr(P, "REMEMBERED", 2)
+    coder = P.WordCoder(PATH)
+    coder.coder = spy = Spy(coder.coder)
+    for words in (["日本", "b", "c"], ["日本", "d", "e"], ["日本", "f"], ["本"]):
+        table = coder.learn([[w.encode() for w in words]])
+        assert all(table[w.encode()] == np.array(spy.coder.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words)
+    assert spy.asked == ["日本", "本"] and len(coder.known) + len(coder.old) < 8

@@ -65,8 +65,8 @@ class WordCoder:
 
     Words go through the tokenizer many at a time, kept apart by a control character that it turns into one id of its own.
     Words of ASCII letters do without it if the model marks the ends of words and a lot has as many ends as words. Words
-    with the control character or with the string of a special token, or all if there is no such id, go alone. Most words
-    are rare, so what is remembered of a word depends on whether it was met again.
+    with the control character or with the string of a special token, or all if there is no such id, go alone. Words are
+    remembered in two generations: a word of the older one that is met again moves to the newer.
 
     Where the tokenizer parts words by KNOWN_SPLIT, a word of LATIN is the ids of its parts in turn, and the model codes each part once.
     """
@@ -77,7 +77,7 @@ class WordCoder:
 
         self.coder = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.coder.get_added_tokens_decoder().values()] + [b"\x01"]
-        self.often, self.young, self.old = {}, {}, {}
+        self.known, self.old = {}, {}
         self.parts: dict[str, bytes] = {}
         self.by_parts = self._parts_known()
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that the byte level shows as themselves; it numbers the others
@@ -103,11 +103,12 @@ class WordCoder:
     def _code_parts(self, words: list[bytes]):
         """Words of LATIN without the string of a special token: what the model makes of each part."""
         split, known, tokenize, pack = LATIN_PARTS.findall, self.parts, self.coder.model.tokenize, struct.pack
-        if len(known) > 2 * REMEMBERED:
+        if len(known) > REMEMBERED:
             known.clear()
         for w in words:
             code = []
-            for part in split(w.decode().lower()):
+            low = w.decode().lower()
+            for part in (low,) if w.isalpha() else split(low):  # isalpha: ASCII letters only
                 found = known.get(part)
                 if found is None:
                     ids = [x.id for x in tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.byte_level))]
@@ -115,30 +116,21 @@ class WordCoder:
                 code.append(found)
             yield w, code[0] if len(code) == 1 else b"".join(code)
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """A table of these words."""
-        table = dict(zip(words, map(self.often.get, words)))
-        lacking = [w for w, ids in table.items() if ids is None]
-        again = {}
-        for recent in (self.young, self.old):
-            found = list(map(recent.get, lacking))
-            again.update((w, recent.pop(w)) for w, ids in zip(lacking, found) if ids is not None)
-            lacking = [w for w, ids in zip(lacking, found) if ids is None]
-        new = dict(self._code(lacking))
-        self.often.update(again)
-        self.young.update(new)
-        table.update(again)
-        table.update(new)
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        if len(self.often) > 2 * REMEMBERED:
-            self.often = {}
-        return table
+    def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
+        """A table that has all words of these texts, until the next call."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.old = {}, self.known
+        known = self.known
+        lacking = list({w for words in texts for w in words if w not in known})
+        found = list(map(self.old.get, lacking))
+        known.update((w, ids) for w, ids in zip(lacking, found) if ids is not None)
+        known.update(self._code([w for w, ids in zip(lacking, found) if ids is None]))
+        return known
 
     def _code(self, words: list[bytes], join: int = 30):
         if self.by_parts:
             fits, whole = LATIN.fullmatch, []
-            latin = [w for w in words if (fits(w) and not (b"|" in w and any(x in w for x in self.special))) or whole.append(w)]
+            latin = [w for w in words if w.isalpha() or (fits(w) and not (b"|" in w and any(x in w for x in self.special))) or whole.append(w)]
             yield from self._code_parts(latin)
             words = whole
         plain = [w for w in words if w.isalpha() and len(w) < 64] if self.ends.any() else []
@@ -189,7 +181,7 @@ def _pieces(tokenizer: str, capacity: int, end_id: int, with_ids: bool):
             for batch in batches:
                 ids, out = batch.column(0), []
                 for numbers, parts in _word_chunks(batch.column(1)):
-                    known = coder.learn(set().union(*parts))
+                    known = coder.learn(parts)
                     for i, words in zip(numbers, parts):
                         code = b"".join(map(known.__getitem__, words)) + end
                         for n in range(-(-len(code) // size)):
