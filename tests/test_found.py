@@ -46,3 +46,12 @@ def test_score_counts_in_arrow(spark):
     docs = spark.createDataFrame([(1, TEXTS[2], "docs")], "id long, text string, domain string")
     plan = scoring.score_documents(docs, ["id", "domain"])._jdf.queryExecution().optimizedPlan().toString()
     assert "found(" in plan and "flags(" in plan
+
+
+def test_features_are_those_that_are_read(spark):
+    docs = spark.createDataFrame([(1, TEXTS[2])], "id long, text string")
+    df = S.text_features(docs, ["id"], ("sents",))
+    assert df.columns == ["id", "text", "sents"]
+    assert "a-z0-9_" not in df._jdf.queryExecution().optimizedPlan().toString()  # no words are looked for
+    only = W.with_found(S.text_features(docs, ["id"]), names=("personal",), sentences=False).select(F.get("_found", F.lit(W.PLACE["personal"])).alias("n"), F.get("_found", F.lit(0)).alias("none"))
+    assert [tuple(r) for r in only.collect()] == [(5, None)]
