@@ -10,7 +10,7 @@ from textloom.plans.queries import ORACLES, QUERIES
 
 WORDS = (
     "improved performance several issues because that was slow slow which profiling showed 40 users test chose some users in certain cases better design 12 350 2021 40% role team "
-    "experience skill i am look forward thank Ana Lopez NASA must proven case study API/Url source lgtm temp todo will noted def fixed quickly and delve into"
+    "experience skill i am look forward thank Ana Lopez NASA must proven case study API/Url source lgtm temp todo will noted def fixed quickly and delve into AI-powered scalable p95 reduced by 40 Redis pool_size"
 ).split()
 ACCENTS = "éñßÉêx"
 
@@ -26,7 +26,7 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["domain_signals", "docs_signals", "academia_signals", "code_review_signals", "improvement_hints", "improvement_summary"])
+@pytest.mark.parametrize("name", ["domain_signals", "docs_signals", "academia_signals", "code_review_signals", "improvement_hints", "improvement_summary", "sig_evidence_density", "sig_specificity", "sig_information_density"])
 def test_accents(spark, folder, name):
     df = QUERIES[name](spark, str(folder))
     columns = sorted(df.columns)
