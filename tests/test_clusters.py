@@ -191,3 +191,23 @@ def test_a_leader_that_has_only_copies_after_it(spark, monkeypatch, at_once):
         got[r["leader"]].append((r["id"], r["size"]))
     # 2 is similar to both; 3 leads, as only 1 leads before it, and its group are a copy and a copy of 2
     assert {k: sorted(v) for k, v in got.items()} == {1: [(1, 3), (2, 3), (5, 3)], 3: [(3, 3), (4, 3), (5, 3)]}
+
+
+def test_cells_share_blocks(spark, monkeypatch):
+    """What is met with every block is the same however cells are dealt to blocks, and many small cells are one block."""
+    assert V._blocks([3, 4, 9, 25, 2, 5], 10, True) == [(0, 1), (0, 1), (1, 1), (2, 3), (5, 1), (5, 1)] and V._blocks([3, 25, 2], 10, False) == [(0, 1), (1, 3), (4, 1)]
+    draw = np.random.default_rng(3)
+    points = draw.normal(size=(400, 8)).round(1)
+    points[50:60] = points[0]
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    met = []
+    search = V.block_search
+    monkeypatch.setattr(V, "block_search", lambda q, v, pairs, *rest: (met.append(pairs.count()), search(q, v, pairs, *rest))[1])
+    rows = lambda **more: sorted(map(tuple, V.neighbours(df, 0.5, 5, **more).collect()))
+    many = rows(cells=12)
+    monkeypatch.setattr(V, "GROUP_ROWS", 40)
+    assert rows(cells=12) == many and met[0] == 1 and met[1] > 9
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    sim = np.round(unit @ unit.T, 6)
+    want = [(i, j, r + 1) for i in range(400) for r, j in enumerate(sorted((j for j in range(400) if j != i and sim[i, j] >= 0.5), key=lambda j: (-sim[i, j], j))[:5])]
+    assert [r[:3] for r in many] == sorted(want)

@@ -1,7 +1,7 @@
 """Neighbours of vectors within a cosine, by a partitioned index, and greedy clusters of them.
 
 Vectors are dealt to cells, the nearest of a few centres that are fitted on a bounded sample; every vector is in a cell.
-A cell is kept in blocks of bounded size, and a block of queries meets a block of vectors as two matrices in one task, so
+Cells are kept in blocks of bounded size, and a block of queries meets a block of vectors as two matrices in one task, so
 neither a large cell nor a large table is ever in one task. Which cells a query meets is decided by angles: a vector in a cell of
 radius r around a centre cannot be within the angle t of a query that is further than r + t from that centre. That
 leaves out nothing; meeting only the nearest few of these cells is the fast way, with a recall below 1.
@@ -24,9 +24,12 @@ from textloom.sources.scratch import small, written
 #: Vectors that fit the centres: at most so many for each, the first by a hash of their id.
 SAMPLE_PER_CELL = 64
 MOST_CELLS = 1024
-#: Vectors of a cell in the mean, where the number of cells is not given, and rows of a block.
+#: Vectors of a cell in the mean, where the number of cells is not given; rows of a block, which holds many cells if all that may be near are to be met; and
+#: queries whose cosines are in memory at a time. Each block is shuffled once for each that it meets, so few large ones are shuffled less.
 CELL_ROWS = 512
 BLOCK_ROWS = 2048
+GROUP_ROWS = 32_768
+AT_ONCE = 256
 _SIDE = "rep long, v array<double>"
 
 
@@ -109,17 +112,24 @@ def _best(least: float, k: int):
 
     def run(queries, vectors):
         q, v = (_matrix(t.column(3).combine_chunks()) for t in (queries, vectors))
-        if not len(q) or not len(v):
-            return pa.table({"rep": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         a, b = (t.column(2).to_numpy() for t in (queries, vectors))
         order = np.argsort(b)
         b, v = b[order], v[order]
-        sim = np.round(q @ v.T, 6)
-        sim[(sim < least) | (a[:, None] == b[None])] = -np.inf
-        best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        at = (np.broadcast_to(np.arange(len(a))[:, None], best.shape), best)
-        there = np.isfinite(sim[at])
-        return pa.table({"rep": pa.array(a[at[0][there]]), "other": pa.array(b[best[there]]), "sim": pa.array(sim[at][there])})
+        for i in range(0, len(q) if len(v) else 0, AT_ONCE):
+            sim = q[i : i + AT_ONCE] @ v.T
+            may = sim >= least - 1e-6
+            if len(b) > k + 1 and may.sum() > may.size // 16:  # each may be among its own k + 1
+                may &= sim >= np.partition(sim, len(b) - k - 1, axis=1)[:, len(b) - k - 1, None] - 2e-6
+            row, at = np.nonzero(may)
+            near = np.round(sim[row, at], 6)
+            own = (near >= least) & (a[i + row] != b[at])
+            row, at, near = row[own], at[own], near[own]
+            best = np.lexsort((at, -near, row))
+            row, at, near = row[best], at[best], near[best]
+            few = np.arange(len(row)) - np.searchsorted(row, row) < k
+            found.append((a[i + row[few]], b[at[few]], near[few]))
+        return pa.table(dict(zip(("rep", "other", "sim"), map(np.concatenate, zip(*found)))))
 
     return run
 
@@ -135,6 +145,21 @@ def block_search(queries: DataFrame, vectors: DataFrame, pairs: DataFrame, least
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("rep", "other", "sim")
 
 
+def _blocks(sizes: list[int], most: int, together: bool) -> list[tuple[int, int]]:
+    """Of each cell its first block and how many it has: cells larger than `most` are dealt to several, others share one as long as they fit, if they may."""
+    out, at, held = [], 0, 0
+    for n in sizes:
+        parts = -(-n // most)
+        if not together or parts > 1 or held + n > most:
+            at, held = at + (1 if held else 0), 0
+        out.append((at, parts))
+        if not together or parts > 1:
+            at += parts
+        else:
+            held += n
+    return out
+
+
 def class_neighbours(reps: DataFrame, least: float, k: int, probes: int | None = None, cells: int | None = None) -> DataFrame:
     """(rep, other, sim) of different unit vectors (rep, v): the k nearest of each with a cosine of `least` or more; all of them without `probes`."""
     n = reps.count()
@@ -145,12 +170,13 @@ def class_neighbours(reps: DataFrame, least: float, k: int, probes: int | None =
     rows = written(reps.select("rep", "v").mapInArrow(_assign(centers), f"{_SIDE}, cell int, angle double"), "assigned")
     stats = sorted(rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).collect())  # cells rows
     known, radius = np.array([r["cell"] for r in stats]), np.array([r["angle"] for r in stats])
-    parts = F.element_at(F.create_map(*(F.lit(int(x)) for r in stats for x in (r["cell"], -(-r["n"] // BLOCK_ROWS)))), F.col("cell"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    dealt = _blocks([r["n"] for r in stats], GROUP_ROWS if probes is None else BLOCK_ROWS, probes is None)
+    of = lambda i, c: F.element_at(F.create_map(*(F.lit(int(x)) for r, d in zip(stats, dealt) for x in (r["cell"], d[i]))), F.col(c))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), of(1, "cell")).cast("int"))
     met = rows.select("rep", "v", "cell", "part").mapInArrow(_probe(centers, known, radius, float(np.arccos(min(1.0, max(-1.0, least)))), probes), "cell int, part int, other int").distinct()
-    blocks = rows.select(F.col("cell").alias("other"), F.struct("cell", "part").alias("other_block")).distinct()
-    pairs = met.join(blocks, "other").select(F.struct("cell", "part").alias("block"), "other_block")
-    side = rows.select(F.struct("cell", "part").alias("block"), "rep", "v")
+    others = F.sequence(of(0, "other"), of(0, "other") + of(1, "other") - 1)
+    pairs = met.select((of(0, "cell") + F.col("part")).alias("block"), F.explode(others).alias("other_block")).distinct()
+    side = rows.select((of(0, "cell") + F.col("part")).alias("block"), "rep", "v")
     return block_search(side, side.withColumnRenamed("block", "other_block"), written(pairs, "met"), least, k)
 
 
