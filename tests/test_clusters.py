@@ -1,6 +1,7 @@
 """TF-IDF and vector clusters against plain loops."""
 
 import math
+import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -211,3 +212,18 @@ def test_cells_share_blocks(spark, monkeypatch):
     sim = np.round(unit @ unit.T, 6)
     want = [(i, j, r + 1) for i in range(400) for r, j in enumerate(sorted((j for j in range(400) if j != i and sim[i, j] >= 0.5), key=lambda j: (-sim[i, j], j))[:5])]
     assert [r[:3] for r in many] == sorted(want)
+
+
+def test_batches_in_one_task_and_by_the_index(spark, monkeypatch):
+    """A batch has the same groups in one task as by the index; a small one shuffles its texts once and writes no tables of terms."""
+    draw = random.Random(11)
+    base = [" ".join(draw.choice("alpha beta gamma delta épsilon zeta eta theta iota kappa".split()) for _ in range(30)) for _ in range(6)]
+    texts = [" ".join(w if draw.random() < 0.8 else draw.choice(["new", "old", "1", "of"]) for w in draw.choice(base).split()) for _ in range(50)] + base + base[:3] + ["", None, "..", ""]
+    df = spark.createDataFrame([(i % 2, i, t) for i, t in enumerate(texts)] + [(0, 0, texts[0]), (1, None, "x y")], "batch int, id long, text string")
+    rows = lambda out: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in out.collect())
+    made = []
+    monkeypatch.setattr(W, "written", lambda d, name, real=W.written: (made.append(name), real(d, name))[1])
+    pairs, groups = rows(W.tfidf_pairs(df, 0.5, 40)), rows(W.tfidf_clusters(df, 0.5, 40))
+    assert made == ["large", "large"] and len(pairs) > 20 and len(groups) > 10
+    monkeypatch.setattr(W, "WHOLE_BATCH", 3)
+    assert rows(W.tfidf_pairs(df, 0.5, 40)) == pairs and rows(W.tfidf_clusters(df, 0.5, 40)) == groups
